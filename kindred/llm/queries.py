@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import divergence
+from kindred.llm import bitpack, divergence, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rule(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.packed_ids(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
+    "op9_bitpack": op9_bitpack,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
