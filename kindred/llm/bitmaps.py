@@ -1,0 +1,32 @@
+"""Bitmaps of hashed keys: a broadcast of fixed size, whatever the number of keys.
+
+A key's bit says "perhaps there"; it never misses a key. The size follows the number of keys up to MAX_BITS
+(32 MB); beyond that more other keys pass, and the exact join that follows has more to do.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
+_BLOCK = 32768  # bits in one value of bitmap_construct_agg
+
+
+class KeyBitmap:
+    """Built from a column of well-mixed 64-bit keys; may_hold() tests numpy arrays of such keys."""
+
+    def __init__(self, keys: DataFrame, column: str, expected: int):
+        self.bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, expected) - 1).bit_length()))
+        at = F.col(column).bitwiseAND(F.lit(self.bits - 1))
+        blocks = keys.select((at / F.lit(_BLOCK)).cast("long").alias("block"), (at % F.lit(_BLOCK)).alias("bit"))
+        found = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()  # bits / 32768 rows at most
+        data = np.zeros(self.bits // 8, np.uint8)
+        for row in found:
+            data[row["block"] * (_BLOCK // 8) :][: _BLOCK // 8] = np.frombuffer(row["bitmap"], np.uint8)
+        self._shared = keys.sparkSession.sparkContext.broadcast(data)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.uint64) & np.uint64(self.bits - 1)
+        return (self._shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

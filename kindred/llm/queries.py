@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bitpack, divergence, packing
+from kindred.llm import bitpack, divergence, jaccard, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rule(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_ids(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
+    "op7_jaccard": op7_jaccard,
     "op9_bitpack": op9_bitpack,
     "op10_packing": op10_packing,
 }
