@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import bitpack, divergence, jaccard, packing
+from kindred.llm import bitpack, divergence, jaccard, packing, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rule(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -30,12 +39,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vafile": op1_vafile,
     "op2_divergence": op2_divergence,
+    "op5_warc": op5_warc,
     "op7_jaccard": op7_jaccard,
     "op9_bitpack": op9_bitpack,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_vafile": vafile.oracle_sql(20, 20),
     "op2_divergence": divergence.oracle_sql(),
+    "op5_warc": warc.oracle_sql(),
 }
