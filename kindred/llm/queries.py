@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bitpack, divergence, jaccard, packing, vafile, warc
+from kindred.llm import bitpack, bytecnn, divergence, jaccard, packing, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,18 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rule(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
 
 
+def op6_bytecnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vafile": op1_vafile,
     "op2_divergence": op2_divergence,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_bytecnn": op6_bytecnn,
     "op7_jaccard": op7_jaccard,
     "op9_bitpack": op9_bitpack,
     "op10_packing": op10_packing,
