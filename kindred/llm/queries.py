@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bitpack, bytecnn, divergence, jaccard, packing, toxicity, vafile, warc
+from kindred.llm import bitpack, bytecnn, divergence, jaccard, packing, pii, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_ids(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_bytecnn": op6_bytecnn,
     "op7_jaccard": op7_jaccard,
+    "op8_pii": op8_pii,
     "op9_bitpack": op9_bitpack,
     "op10_packing": op10_packing,
 }
