@@ -5,14 +5,14 @@ that link (Jaccard of at least ``percent`` / 100) share at least one of their fi
 and at least L of their first |x| - ceil(t |x|) + L. Documents are treated as follows.
 
 1. Equal sets become one node, so copies are never paired.
-2. The basic prefixes (L = 1) of all nodes are counted by shingle. A shingle in up to HEAVY prefixes is light.
-3. A node whose basic prefix has a heavy shingle would meet too many candidates. Its prefix is lengthened by an
-   eighth of its set, and a candidate must then share correspondingly many shingles: L less the heavy ones, which
-   are not looked up. A pair with a node that was not lengthened needs one light shingle of the basic prefixes.
+2. Every node's prefix for L = 1 + |x| / 8 is counted by shingle. A shingle in up to HEAVY prefixes is light.
+3. The counts give the candidates that a node's basic prefix (L = 1) would meet. Beyond COST of them its lengthened
+   prefix is used, and a candidate must share correspondingly many shingles: L less the heavy ones, which are not
+   looked up. A pair with a node that was not lengthened needs one shingle of the basic prefixes.
 4. A node with so many heavy shingles that the light ones prove nothing ("dense": as a rule a member of a large
    group of near copies) is paired by heavy shingles too, but only with dense nodes that are not yet in its component.
-5. To have few such pairs, each shingle's smallest and largest nodes are first compared with all its other nodes: as
-   many pairs as rows. Components of the links found so far leave only pairs across components to be compared.
+5. To have few such pairs, each shingle's smallest node is first compared with those of its other nodes that share
+   many shingles with it: fewer pairs than rows. Only pairs across the components so found are looked for then.
 
 Every pair is verified on the whole sets. Only pairs within one component are ever left out, so components are
 exact. Broadcasts are bitmaps of fixed size.
@@ -24,7 +24,7 @@ null doc_id is kept, and counts for a component only where all its ids are null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,7 @@ class JaccardConfig:
     width: int = 5
     heavy: int = 64
     lengthening: int = 8  # a lengthened prefix has |x| / lengthening shingles more
+    cost: int = 8
 
 
 def basic_prefix(n: int, percent: int) -> int:
@@ -65,6 +66,13 @@ def _set_hash(found: np.ndarray) -> int:
     return int(whole | np.uint64(1)) if len(found) else 0
 
 
+def _keys(part: pa.RecordBatch, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each set, and of each set with its document's id."""
+    nodes = np.array([_set_hash(s) for s in sets], np.uint64)
+    ids = np.asarray(pa.compute.fill_null(part.column("doc_id"), -1)).astype(np.uint64)
+    return nodes, textscan.mixed(nodes ^ textscan.mixed(ids))
+
+
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -80,11 +88,10 @@ def signatures(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, config.width):
-                nodes = np.array([_set_hash(s) for s in sets], np.uint64)
-                ids = np.asarray(pa.compute.fill_null(part.column("doc_id"), -1)).astype(np.uint64)
+                nodes, pick = _keys(part, sets)
                 prefix = [s[: basic_prefix(len(s), config.percent) + len(s) // config.lengthening] if len(s) else s for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), _signed(textscan.mixed(nodes ^ textscan.mixed(ids))), _lists(prefix)],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), _signed(pick), _lists(prefix)],
                     names=["doc_id", "n_shingles", "node", "pick", "prefix"],
                 )
 
@@ -92,41 +99,37 @@ def signatures(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, n_shingles long, node long, pick long, prefix array<long>")
 
 
-def _prefix_rows(signed: DataFrame, config: JaccardConfig, picks: KeyBitmap, lengthened: bool, nodes: KeyBitmap | None = None, tokens: KeyBitmap | None = None) -> DataFrame:
+def _prefix_rows(signed: DataFrame, config: JaccardConfig, picks: KeyBitmap, tokens: KeyBitmap | None = None) -> DataFrame:
     """token, node, n, base (within the basic prefix): prefix members of the nodes' chosen documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = picks.may_hold(np.asarray(batch.column("pick")).view(np.uint64))
-            if nodes is not None:
-                keep &= nodes.may_hold(np.asarray(batch.column("node")).view(np.uint64))
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(picks.may_hold(np.asarray(batch.column("pick")).view(np.uint64))))
             lists, n = batch.column("prefix"), np.asarray(batch.column("n_shingles"))
             sizes = np.asarray(pa.compute.list_value_length(lists), np.int64)
             member = np.asarray(lists.flatten()).view(np.uint64)
             row = np.repeat(np.arange(len(n)), sizes)
             place = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             base = place < (n - -(-config.percent * n // 100) + 1)[row]
-            chosen = np.ones(len(member), bool) if lengthened else base
             if tokens is not None:
-                chosen &= tokens.may_hold(member)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(member[chosen]), pa.array(np.asarray(batch.column("node"))[row[chosen]]), pa.array(n[row[chosen]]), pa.array(base[chosen])],
-                names=["token", "node", "n", "base"],
-            )
+                some = tokens.may_hold(member)
+                member, row, base = member[some], row[some], base[some]
+            for i in range(0, max(1, len(member)), 200_000):
+                s = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([_signed(member[s]), pa.array(np.asarray(batch.column("node"))[row[s]]), pa.array(n[row[s]]), pa.array(base[s])], names=["token", "node", "n", "base"])
 
     return signed.filter("n_shingles > 0").select("pick", "node", "n_shingles", "prefix").mapInArrow(scan, "token long, node long, n long, base boolean")
 
 
-def _shared(rows: Callable[[KeyBitmap | None], DataFrame], label: str) -> DataFrame:
-    """Rows of tokens that two nodes or more have, with the token's count and its smallest and largest node."""
-    counted = rows(None).groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("low"), F.max("node").alias("high"))
-    counted = materialize(counted.filter("low <> high"), f"{label}-counts")
-    again = rows(KeyBitmap(counted, "token", counted.count()))
-    return materialize(again.join(counted, "token"), label)
+def _shared(signed: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataFrame:
+    """Prefix rows of the shingles that two nodes or more have, with the shingle's count m and its smallest node."""
+    counted = _prefix_rows(signed, config, picks).groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("low"), F.max("node").alias("high"))
+    counted = materialize(counted.filter("low <> high").select("token", "m", "low"), "counts")
+    rows = _prefix_rows(signed, config, picks, KeyBitmap(counted, "token", counted.count()))
+    return materialize(rows.join(counted, "token"), "shared")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted, "wanted")
@@ -134,14 +137,13 @@ def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFram
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in _sets(batch, config.width):
-                nodes = np.array([_set_hash(s) for s in sets], np.uint64)
-                keep = np.flatnonzero(bitmap.may_hold(nodes) & (nodes != 0))
-                kept = dict(zip(nodes[keep].tolist(), [sets[i] for i in keep]))
-                yield pa.RecordBatch.from_arrays([_signed(np.array(list(kept), np.uint64)), _lists(list(kept.values()))], names=["node", "members"])
-
-    found = docs.select(F.col("text").cast("string")).mapInArrow(scan, "node long, members array<long>")
-    found = materialize(found.groupBy("node").agg(F.first("members").alias("members")), "members")
+            for part, sets in _sets(batch, config.width):
+                nodes, pick = _keys(part, sets)
+                keep = np.flatnonzero(bitmap.may_hold(nodes) & picks.may_hold(pick) & (nodes != 0))
+                yield pa.RecordBatch.from_arrays([_signed(nodes[keep]), _lists([sets[i] for i in keep])], names=["node", "members"])
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "node long, members array<long>")
+    found = materialize(found, "members")
     left, right = (found.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}"), F.size("members").alias(f"n_{x}")) for x in "ab")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_near(F.col("n_a"), F.col("n_b"), config))
     both = F.size(F.array_intersect("in_a", "in_b"))
@@ -154,11 +156,15 @@ def _near(x: Column, y: Column, config: JaccardConfig) -> Column:
     return 100 * F.least(x, y) >= config.percent * F.greatest(x, y)
 
 
-def _across(rows: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Pairs of a light token's nodes in different components: token groups of at most `heavy` rows."""
+def _across(rows: DataFrame, config: JaccardConfig, both_lengthened: bool) -> DataFrame:
+    """Pairs x, y of a light shingle's nodes in different components: groups of at most `heavy` rows."""
     groups = rows.groupBy("token").agg(F.collect_list(F.struct("node", "n", "group", "lengthened", "n_heavy")).alias("of"), F.min("group").alias("g1"), F.max("group").alias("g2"))
     groups = groups.filter("g1 <> g2").select("of")
-    fits = lambda x, y: (x["node"] < y["node"]) & (x["group"] != y["group"]) & _near(x["n"], y["n"], config)
+
+    def fits(x: Column, y: Column) -> Column:
+        both = x["lengthened"] & y["lengthened"]
+        return (x["node"] < y["node"]) & (x["group"] != y["group"]) & _near(x["n"], y["n"], config) & (both if both_lengthened else ~both)
+
     made = F.flatten(F.transform("of", lambda x: F.transform(F.filter("of", lambda y: fits(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     return groups.select(F.explode(made).alias("p")).select("p.x", "p.y")
 
@@ -170,34 +176,27 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     nodes = materialize(nodes, "nodes")
     picks = KeyBitmap(nodes, "pick", nodes.count())
 
-    basic = _shared(lambda t: _prefix_rows(signed, config, picks, False, tokens=t), "basic")
-    costly = materialize(basic.filter(F.col("m") > config.heavy).select("node").distinct(), "costly")
-    costly_bits = KeyBitmap(costly, "node", costly.count())
-    longer = _shared(lambda t: _prefix_rows(signed, config, picks, True, costly_bits, t).join(costly, "node", "left_semi"), "longer")
-
-    heavy = longer.filter(F.col("m") > config.heavy).groupBy("node").agg(F.count("*").alias("n_heavy"), F.min("n").alias("n"))
-    least_partner = F.ceil(F.col("n") * config.percent / 100)
-    heavy = heavy.withColumn("dense", F.col("n_heavy") >= 1 + F.floor(least_partner / config.lengthening))
+    shared = _shared(signed, config, picks)
+    light = F.col("m") <= config.heavy
 
-    rows = basic.select("token", "node", "n", "m", "low", "high").union(longer.select("token", "node", "n", "m", "low", "high"))
-    ends = rows.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    stars = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    first_links = materialize(_links(docs, stars, config), "links")
+    length = 1 + F.floor(F.col("n") / config.lengthening)
+    stars = shared.filter("node <> low").groupBy("low", "node").agg(F.count("*").alias("shared"), F.min("n").alias("n")).filter(4 * F.col("shared") >= length)
+    stars = materialize(stars.select(F.col("low").alias("a"), F.col("node").alias("b")), "stars")
+    first_links = materialize(_links(docs, stars, config, picks), "links")
     groups = connected_components(first_links)
 
-    known = (
-        nodes.select("node").join(groups, "node", "left").join(costly.withColumn("lengthened", F.lit(True)), "node", "left").join(heavy.select("node", "n_heavy", "dense"), "node", "left")
-        .select("node", F.coalesce("label", "node").alias("group"), F.coalesce("lengthened", F.lit(False)).alias("lengthened"), F.coalesce("n_heavy", F.lit(0)).alias("n_heavy"), F.coalesce("dense", F.lit(False)).alias("dense"))
-    )
+    costs = shared.groupBy("node").agg(F.sum(F.when(F.col("base"), F.col("m") - 1).otherwise(0)).alias("cost"), F.sum(F.when(light, 0).otherwise(1)).alias("n_heavy"), F.min("n").alias("n"))
+    partner = 1 + F.floor(F.ceil(F.col("n") * config.percent / 100) / config.lengthening)  # the least that a partner's prefix proves
+    costs = costs.select("node", (F.col("cost") > config.cost).alias("lengthened"), "n_heavy", (F.col("n_heavy") >= partner).alias("dense"))
+    known = costs.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "lengthened", "n_heavy", (F.col("dense") & F.col("lengthened")).alias("dense"))
     known = materialize(known, "known")
-    light = F.col("m") <= config.heavy
+    rows = shared.join(known, "node")
     pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
-    by_basic = _across(basic.filter(light).join(known, "node"), config).filter(~(F.col("x.lengthened") & F.col("y.lengthened"))).select(*pair)
-    by_longer = _across(longer.filter(light).join(known, "node"), config)
+    by_basic = _across(rows.filter(light & F.col("base")), config, False).select(*pair)
+    by_longer = _across(rows.filter(light & F.col("lengthened")), config, True)
     needed = 1 + F.floor(F.least("x.n", "y.n") / config.lengthening) - F.least("x.n_heavy", "y.n_heavy")
     by_longer = by_longer.groupBy(*pair).agg(F.count("*").alias("shared"), F.max(needed).alias("needed")).filter("shared >= needed").select("a", "b")
-    dense = longer.filter(~light & F.col("base")).join(known.filter("dense"), "node").select("token", "node", "n", "group")
+    dense = rows.filter(~light & F.col("base") & F.col("dense")).select("token", "node", "n", "group")
     dense = dense.join(dense.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("token"), "token")
     dense = materialize(dense, "dense")
     x, y = (dense.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "group")]) for s in "xy")
@@ -206,7 +205,7 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     rest = materialize(by_basic.union(by_longer).union(by_heavy).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     links = first_links
     if not rest.isEmpty():
-        links = first_links.union(_links(docs, rest, config))
+        links = first_links.union(_links(docs, rest, config, picks))
     labels = connected_components(materialize(links, "links"))
 
     named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))

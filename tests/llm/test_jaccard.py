@@ -69,7 +69,7 @@ def test_random_families(spark, heavy):
                 words = words[:at] + r.choice(passages) + words[at:]
             rows.append((len(rows), " ".join(words).upper() if k % 2 else " ".join(words)))
     rows += [(1000 + i, " ".join(passages[0] + ["own%d" % (10 * i + j) for j in range(12)])) for i in range(20)]
-    config = jaccard.JaccardConfig(heavy=heavy)
+    config = jaccard.JaccardConfig(heavy=heavy, cost=heavy - 1)
     assert run(spark, rows, config) == brute(rows)
 
 
