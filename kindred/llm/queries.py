@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bitpack, bytecnn, divergence, jaccard, packing, pii, toxicity, vafile, warc
+from kindred.llm import bitpack, bytecnn, divergence, jaccard, mixing, packing, pii, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rule(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vafile": op1_vafile,
     "op2_divergence": op2_divergence,
+    "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_bytecnn": op6_bytecnn,
