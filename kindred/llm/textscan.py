@@ -107,10 +107,10 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int = 5)
         if b - a >= width:
             found.append(np.unique(runs[a : b - width + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in hashes[a:b]:
-                whole = whole * _STEP + h
-            found.append(mixed(np.array([whole], np.uint64)))
+            whole = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                whole = whole * _STEP + hashes[i]
+            found.append(mixed(whole))
         else:
             found.append(np.zeros(0, np.uint64))
     return found
