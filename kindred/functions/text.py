@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def fold_native(c: Column) -> Column:
 
 def fold_exact(c: Column) -> Column:
     """Accent fold for every character, in Arrow batches. Meant for records, never for pairs."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or t.isascii() else _fold(t))
