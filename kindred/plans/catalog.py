@@ -46,23 +46,23 @@ def _joined(c):
 # ------------------------------------------------------------------------------------------------ text
 
 _TEXT = {
-    "normalize_name": ("name_norm", F.col("name_norm"), "name_norm"),
-    "normalize_address": ("addr_norm", F.col("addr_norm"), "addr_norm"),
-    "name_tokens": ("tokens", _joined(F.col("name_toks")), "array_to_string(name_toks, '|')"),
-    "address_tokens": ("tokens", _joined(F.col("addr_toks")), "array_to_string(addr_toks, '|')"),
-    "postal_code": ("postal", F.col("postal"), "postal"),
-    "strip_landmark": ("addr_strip", F.col("addr_strip"), "addr_strip"),
-    "char_ngrams": ("grams", _joined(F.sort_array(T.char_ngrams(F.col("name_norm")))), f"array_to_string(list_sort({O._ngrams('name_norm')}), '|')"),
-    "blocking_text": ("blocking_text", F.col("blocking_text"), "blocking_text"),
-    "name_prefix3": ("prefix", F.col("name_prefix3"), "name_prefix3"),
-    "first_token_prefix": ("prefix", F.col("first_prefix"), "first_prefix"),
-    "normalize_country": ("country_norm", F.col("country_norm"), "country_norm"),
-    "source_label": ("label", T.source_of_id(F.col("entity_id")), "substr(entity_id, 1, 2)"),
-    "clean_text": ("cleaned", T.clean(F.col("business_address")), O._clean("business_address")),
-    "source_prefixes": ("from_s2", T.is_from(F.col("entity_id"), "S2"), "starts_with(entity_id, 'S2-')"),
+    "normalize_name": ("name_norm", lambda: F.col("name_norm"), "name_norm"),
+    "normalize_address": ("addr_norm", lambda: F.col("addr_norm"), "addr_norm"),
+    "name_tokens": ("tokens", lambda: _joined(F.col("name_toks")), "array_to_string(name_toks, '|')"),
+    "address_tokens": ("tokens", lambda: _joined(F.col("addr_toks")), "array_to_string(addr_toks, '|')"),
+    "postal_code": ("postal", lambda: F.col("postal"), "postal"),
+    "strip_landmark": ("addr_strip", lambda: F.col("addr_strip"), "addr_strip"),
+    "char_ngrams": ("grams", lambda: _joined(F.sort_array(T.char_ngrams(F.col("name_norm")))), f"array_to_string(list_sort({O._ngrams('name_norm')}), '|')"),
+    "blocking_text": ("blocking_text", lambda: F.col("blocking_text"), "blocking_text"),
+    "name_prefix3": ("prefix", lambda: F.col("name_prefix3"), "name_prefix3"),
+    "first_token_prefix": ("prefix", lambda: F.col("first_prefix"), "first_prefix"),
+    "normalize_country": ("country_norm", lambda: F.col("country_norm"), "country_norm"),
+    "source_label": ("label", lambda: T.source_of_id(F.col("entity_id")), "substr(entity_id, 1, 2)"),
+    "clean_text": ("cleaned", lambda: T.clean(F.col("business_address")), O._clean("business_address")),
+    "source_prefixes": ("from_s2", lambda: T.is_from(F.col("entity_id"), "S2"), "starts_with(entity_id, 'S2-')"),
 }
 for _name, (_alias, _column, _sql) in _TEXT.items():
-    QUERIES[_name] = lambda spark, d, a=_alias, c=_column: records(spark, d).select("entity_id", c.alias(a))
+    QUERIES[_name] = lambda spark, d, a=_alias, c=_column: records(spark, d).select("entity_id", c().alias(a))
     ORACLES[_name] = O.with_records(f"SELECT entity_id, {_sql} AS {_alias} FROM rec")
 
 
@@ -100,14 +100,14 @@ def _postal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIMILAR = {
-    "levenshtein_ratio": (S.levenshtein_ratio(F.col("a_addr_strip"), F.col("b_addr_strip")), O._ratio("a.addr_strip", "b.addr_strip")),
-    "jaccard_tokens": (S.jaccard(F.col("a_addr_toks"), F.col("b_addr_toks")), O._jaccard("a.addr_toks", "b.addr_toks")),
-    "token_sort_ratio": (S.token_sort_ratio(F.col("a_name_toks"), F.col("b_name_toks")), O._sorted_ratio("a.name_toks", "b.name_toks")),
-    "prefix_match": (S.prefix_match(F.col("a_name_norm"), F.col("b_name_norm")), O._prefix("a.name_norm", "b.name_norm", 3)),
-    "levenshtein": (F.levenshtein("a_name_norm", "b_name_norm").cast("double"), "levenshtein(translate(a.name_norm, 'ß', chr(1)), translate(b.name_norm, 'ß', chr(1)))::DOUBLE"),
+    "levenshtein_ratio": (lambda: S.levenshtein_ratio(F.col("a_addr_strip"), F.col("b_addr_strip")), O._ratio("a.addr_strip", "b.addr_strip")),
+    "jaccard_tokens": (lambda: S.jaccard(F.col("a_addr_toks"), F.col("b_addr_toks")), O._jaccard("a.addr_toks", "b.addr_toks")),
+    "token_sort_ratio": (lambda: S.token_sort_ratio(F.col("a_name_toks"), F.col("b_name_toks")), O._sorted_ratio("a.name_toks", "b.name_toks")),
+    "prefix_match": (lambda: S.prefix_match(F.col("a_name_norm"), F.col("b_name_norm")), O._prefix("a.name_norm", "b.name_norm", 3)),
+    "levenshtein": (lambda: F.levenshtein("a_name_norm", "b_name_norm").cast("double"), "levenshtein(translate(a.name_norm, 'ß', chr(1)), translate(b.name_norm, 'ß', chr(1)))::DOUBLE"),
 }
 for _name, (_column, _sql) in _SIMILAR.items():
-    QUERIES[_name] = lambda spark, d, c=_column: _postal_pairs(spark, d).select("a_entity_id", "b_entity_id", F.round(c, 6).alias("similarity"))
+    QUERIES[_name] = lambda spark, d, c=_column: _postal_pairs(spark, d).select("a_entity_id", "b_entity_id", F.round(c(), 6).alias("similarity"))
     ORACLES[_name] = O.with_records(f"SELECT a.entity_id AS a_entity_id, b.entity_id AS b_entity_id, round({_sql}, 6) AS similarity FROM rec a, rec b WHERE {_NEAR}")
 
 

@@ -189,3 +189,14 @@ def test_catalogue_is_complete():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     assert not [n for n, m in itertools.groupby(sorted(names)) if len(list(m)) > 1]
+
+
+def test_entry_needs_no_session():
+    """Names and SQL can be read before any Spark session is there."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
