@@ -61,7 +61,8 @@ def sweep(scored: DataFrame, truth: DataFrame, ids: DataFrame, first: float = FI
     base = ids.select("source1_entity_id").distinct().join(n_true, "source1_entity_id", "left").join(per, "source1_entity_id", "left")
     rows = base.select(F.coalesce("n_true", F.lit(0)).alias("n_true"), "steps", F.posexplode(grid).alias("i", "threshold"))
     above = lambda field: F.aggregate(F.filter(F.coalesce("steps", F.array().cast("array<struct<last:int,np:bigint,tp:bigint>>")), lambda s: s["last"] > F.col("i")), F.lit(0).cast("long"), lambda a, s: a + s[field])
-    scores = rows.select("threshold", entity_f_half(above("tp"), above("np"), F.col("n_true")).alias("f"))
+    counted = rows.select("threshold", "n_true", above("tp").alias("tp"), above("np").alias("np"))
+    scores = counted.select("threshold", entity_f_half(F.col("tp"), F.col("np"), F.col("n_true")).alias("f"))
     return scores.groupBy("threshold").agg(F.avg("f").alias("macro_f_half"))
 
 

@@ -365,7 +365,8 @@ def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    curve = E.sweep(scored_pairs(r), truth_pairs(r), _s1(r))
+    # as a table: Catalyst would push the count of thresholds, and with it the similarities, below a join
+    curve = E.sweep(materialize(scored_pairs(r), "scored"), truth_pairs(r), _s1(r))
     return curve.select(F.round("threshold", 6).alias("threshold"), F.round("macro_f_half", 6).alias("macro_f_half"))
 
 
