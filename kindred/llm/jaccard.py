@@ -12,7 +12,8 @@ and at least L of their first |x| - ceil(t |x|) + L. Documents are treated as fo
 4. A node with so many heavy shingles that the light ones prove nothing ("dense": as a rule a member of a large
    group of near copies) is paired by heavy shingles too, but only with dense nodes that are not yet in its component.
 5. To have few such pairs, each shingle's smallest node is first compared with those of its other nodes that share
-   many shingles with it: fewer pairs than rows. Only pairs across the components so found are looked for then.
+   many shingles with it: fewer pairs than rows. Dense nodes are then compared with pivots drawn anew in each of some
+   rounds. Only pairs across the components so found are looked for after that.
 
 Every pair is verified on the whole sets. Only pairs within one component are ever left out, so components are
 exact. Broadcasts are bitmaps of fixed size.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import textscan
@@ -44,7 +45,9 @@ class JaccardConfig:
     width: int = 5
     heavy: int = 64
     lengthening: int = 8  # a lengthened prefix has |x| / lengthening shingles more
-    cost: int = 8
+    cost: int = 8  # candidates that a basic prefix may meet before it is lengthened
+    pivots: int = 8
+    rounds: int = 2
 
 
 def basic_prefix(n: int, percent: int) -> int:
@@ -129,10 +132,8 @@ def _shared(signed: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataF
     return materialize(rows.join(counted, "token"), "shared")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted, "wanted")
+def _members(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataFrame:
+    """node, members: whole sets of the wanted nodes (and perhaps of some more)."""
     bitmap = KeyBitmap(wanted, "node", wanted.count())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +144,61 @@ def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig, picks: KeyB
                 yield pa.RecordBatch.from_arrays([_signed(nodes[keep]), _lists([sets[i] for i in keep])], names=["node", "members"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "node long, members array<long>")
-    found = materialize(found, "members")
-    left, right = (found.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}"), F.size("members").alias(f"n_{x}")) for x in "ab")
+    return materialize(found, "members")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link."""
+    left, right = (members.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}"), F.size("members").alias(f"n_{x}")) for x in "ab")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_near(F.col("n_a"), F.col("n_b"), config))
     both = F.size(F.array_intersect("in_a", "in_b"))
     joined = joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), both.alias("both"))
     return joined.filter(100 * F.col("both") >= config.percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _links(docs: DataFrame, pairs: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> DataFrame:
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    return _verified(pairs, _members(docs, wanted, config, picks), config)
+
+
+def _needed(x: Column, y: Column, config: JaccardConfig) -> Column:
+    """Shingles that linked sets of these sizes share within their lengthened prefixes, at least.
+
+    A shared shingle outside lies beyond the prefix that ends at the smaller hash, so the rest of one set bounds them.
+    """
+    rest = lambda n: F.greatest(F.ceil(n * config.percent / 100) - 1 - F.floor(n / config.lengthening), F.lit(0))
+    return F.ceil(config.percent * (x + y) / (100 + config.percent)) - F.greatest(rest(x), rest(y))
+
+
+def _merge_dense(docs: DataFrame, dense: DataFrame, config: JaccardConfig, picks: KeyBitmap) -> tuple[DataFrame, DataFrame | None]:
+    """dense (token, node, n, n_heavy, rank, group) with groups merged as far as pivots reach, and the links found.
+
+    Each round draws PIVOTS nodes for every shingle that spans groups (the same ones for shingles of the same nodes)
+    and compares all its other nodes with them: a number of pairs in proportion to the rows.
+    """
+    spanning = lambda d: d.join(d.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("token"), "token")
+    dense = materialize(spanning(dense), "dense")
+    links, members = None, None
+    for round_ in range(config.rounds):
+        if dense.isEmpty():
+            break
+        if members is None:
+            members = _members(docs, materialize(dense.select("node").distinct(), "wanted"), config, picks)
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * config.pivots + i)).alias("h"), "node", "n", "n_heavy", "rank", "group")) for i in range(config.pivots)]
+        pivots = dense.groupBy("token").agg(F.array(*drawn).alias("p")).select("token", F.explode("p").alias("p"))
+        met = dense.join(pivots, "token").filter((F.col("group") != F.col("p.group")) & _near(F.col("n"), F.col("p.n"), config))
+        met = met.filter(F.least(F.col("n_heavy") - F.col("rank"), F.col("p.n_heavy") - F.col("p.rank")) >= _needed(F.col("n"), F.col("p.n"), config))
+        pairs = met.groupBy(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).agg(F.min("group").alias("g"))
+        new = materialize(_verified(pairs, members, config), "links")
+        links = new if links is None else links.union(new)
+        of = dense.select("node", "group").distinct()
+        edges = new.join(of.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b")
+        merged = connected_components(edges.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+        dense = dense.join(merged.select(F.col("node").alias("group"), "label"), "group", "left").withColumn("group", F.coalesce("label", "group")).drop("label")
+        dense = materialize(spanning(dense.select("token", "node", "n", "n_heavy", "rank", "group")), "dense")
+    return dense, links
+
+
 def _near(x: Column, y: Column, config: JaccardConfig) -> Column:
     """Sizes that a link allows."""
     return 100 * F.least(x, y) >= config.percent * F.greatest(x, y)
@@ -194,18 +242,24 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
     by_basic = _across(rows.filter(light & F.col("base")), config, False).select(*pair)
     by_longer = _across(rows.filter(light & F.col("lengthened")), config, True)
-    needed = 1 + F.floor(F.least("x.n", "y.n") / config.lengthening) - F.least("x.n_heavy", "y.n_heavy")
+    needed = _needed(F.col("x.n"), F.col("y.n"), config) - F.least("x.n_heavy", "y.n_heavy")
     by_longer = by_longer.groupBy(*pair).agg(F.count("*").alias("shared"), F.max(needed).alias("needed")).filter("shared >= needed").select("a", "b")
-    dense = rows.filter(~light & F.col("base") & F.col("dense")).select("token", "node", "n", "group")
-    dense = dense.join(dense.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("token"), "token")
-    dense = materialize(dense, "dense")
-    x, y = (dense.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "group")]) for s in "xy")
-    by_heavy = x.join(y, (x["token"] == y["token"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & _near(F.col("x_n"), F.col("y_n"), config))
-    by_heavy = by_heavy.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    # Without a light shingle in common a linked pair shares `needed` heavy ones, so it shares one of the first
+    # n_heavy - needed + 1 of each node, the rarest first
+    dense = rows.filter(~light & F.col("dense")).groupBy("token", "node").agg(*[F.min(c).alias(c) for c in ("n", "m", "group")])
+    own = Window.partitionBy("node")
+    dense = dense.withColumns({"n_heavy": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("m", "token")) - 1})
+    dense = dense.filter(F.col("rank") <= F.col("n_heavy") - (1 + F.floor(F.ceil(F.col("n") * config.percent / 100) / config.lengthening)))
+    dense = dense.select("token", "node", "n", "n_heavy", "rank", "group")
+    dense, merged = _merge_dense(docs, dense, config, picks)
+    x, y = (dense.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "n_heavy", "rank", "group")]) for s in "xy")
+    by_heavy = x.join(y, (x["token"] == y["token"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & _near(F.col("x_n"), F.col("y_n"), config)
+                      & (F.least(F.col("x_n_heavy") - F.col("x_rank"), F.col("y_n_heavy") - F.col("y_rank")) >= _needed(F.col("x_n"), F.col("y_n"), config)))
+    by_heavy = by_heavy.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.min("x_n").alias("n")).select("a", "b")
     rest = materialize(by_basic.union(by_longer).union(by_heavy).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    links = first_links
+    links = first_links if merged is None else first_links.union(merged)
     if not rest.isEmpty():
-        links = first_links.union(_links(docs, rest, config, picks))
+        links = links.union(_links(docs, rest, config, picks))
     labels = connected_components(materialize(links, "links"))
 
     named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
