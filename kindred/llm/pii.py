@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from kindred.llm import textscan
+from kindred.llm import remembered, textscan
 from kindred.llm.training import Adam, softsign
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -38,7 +38,7 @@ TAGS = 1 + len(KINDS)
 TOKEN_CHARS, WINDOW, STRIDE = 48, 3, 2
 HIDDEN = 12
 TRAIN_DOCS, TRAIN_CHARS = 400, 4000
-MEMORY = 1_000_000
+MEMORY = 600_000
 
 # Signs that have a class of their own; the others follow by kind of character.
 SIGNS = "@.-+()_%,:/"
@@ -228,6 +228,7 @@ class Network:
         w_start, w_end = starts[head], ends[tail - 1]
         keys = textscan.span_hashes(kinds, w_start, w_end)
         unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        remembered.claim(self)
         if len(self._plain) + len(self._tagged) > MEMORY:
             self.forget()
         names = unique.tolist()

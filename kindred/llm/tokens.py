@@ -15,13 +15,15 @@ import re
 
 import numpy as np
 
+from kindred.llm import remembered
+
 # The splitting pattern of byte-level BPE and its special token: fixed values of the public vocabulary format.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+")
 #: Characters whose class (letter, digit, other, white space) the pattern above and the library see alike.
 PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ɏ]*\Z")
 UNSAFE_GAP = re.compile(r"\s \s")
 END_ID = 0
-MEMORY = 700_000  # parts held by one worker process; about 200 bytes each
+MEMORY = 500_000  # parts held by one worker process; about 200 bytes each
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -66,6 +68,10 @@ class Codec:
         self._parts: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self._parts.clear()
+        self._pieces.clear()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -91,9 +97,9 @@ class Codec:
         """Ids of each text as little-endian 32-bit integers, without special or end tokens added."""
         if not self.by_parts:
             return self._whole(texts)
+        remembered.claim(self)
         if len(self._parts) > MEMORY or len(self._pieces) > MEMORY:
-            self._parts.clear()
-            self._pieces.clear()
+            self.forget()
         out: list[bytes | None] = [None] * len(texts)
         hard = []
         for i, text in enumerate(texts):
