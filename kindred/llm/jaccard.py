@@ -39,6 +39,10 @@ from kindred.llm.components import connected_components
 from kindred.storage import materialize
 
 
+#: Sets that are broadcast hold this many hashes at most, all told (32 MB).
+BROADCAST_LONGS = 4_000_000
+
+
 @dataclass(frozen=True)
 class JaccardConfig:
     percent: int = 75
@@ -148,7 +152,10 @@ def _members(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, picks: K
 
 
 def _verified(pairs: DataFrame, members: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link."""
+    """The pairs (a, b) of nodes whose whole sets link. Few sets are broadcast, so that no pair carries one through a
+    shuffle; their size is checked first."""
+    few = (members.agg(F.sum(F.size("members") + 4)).first()[0] or 0) <= BROADCAST_LONGS
+    members = F.broadcast(members) if few else members
     left, right = (members.select(F.col("node").alias(x), F.col("members").alias(f"in_{x}"), F.size("members").alias(f"n_{x}")) for x in "ab")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_near(F.col("n_a"), F.col("n_b"), config))
     both = F.size(F.array_intersect("in_a", "in_b"))
