@@ -132,9 +132,10 @@ def test_awkward_tables(spark, module, label, monkeypatch):
     assert module.held_out_scores(empty(spark), labels).count() == 0
 
 
-@pytest.mark.parametrize("name, label, modulus, held", [("op4_toxicity", "toxic", 4, 2), ("op6_bytecnn", "quality", 5, 0)])
-def test_held_out_accuracy(spark, name, label, modulus, held):
-    sf = SF.replace("sf0.001", "sf0.01")
+@pytest.mark.parametrize("name, label, size", [("op4_toxicity", "toxic", "sf0.1"), ("op6_bytecnn", "quality", "sf0.01")])
+def test_held_out_accuracy(spark, name, label, size):
+    """Toxic documents are few: the smaller tables hold some thirty to learn from."""
+    sf = SF.replace("sf0.001", size)
     truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
     assert auc(np.array([r["score"] for r in rows]), np.array([truth[r["doc_id"]] for r in rows])) > 0.9
