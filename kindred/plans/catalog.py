@@ -58,7 +58,7 @@ _TEXT = {
     "first_token_prefix": ("prefix", lambda: F.col("first_prefix"), "first_prefix"),
     "normalize_country": ("country_norm", lambda: F.col("country_norm"), "country_norm"),
     "source_label": ("label", lambda: T.source_of_id(F.col("entity_id")), "substr(entity_id, 1, 2)"),
-    "clean_text": ("cleaned", lambda: T.clean(F.col("business_address")), O._clean("business_address")),
+    "clean_text": ("cleaned", lambda: T.clean(F.col("business_address"), T.fold_exact), O._clean("business_address")),
     "source_prefixes": ("from_s2", lambda: T.is_from(F.col("entity_id"), "S2"), "starts_with(entity_id, 'S2-')"),
 }
 for _name, (_alias, _column, _sql) in _TEXT.items():

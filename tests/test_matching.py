@@ -48,6 +48,16 @@ def test_candidates_by_brute_force(records):
     assert got == expected
 
 
+def test_records_fold_every_character(spark):
+    """Ligatures, signs of two letters, Hangul and what lies beyond U+FFFF."""
+    texts = ["\ufb01rst caf\u00e9", "\u2116 5", "\uac00\ub098 mart", "\U0001d400cme \u00bd"]
+    rows = [(i, "S1", f"S1-{i}", t, t, "en") for i, t in enumerate(texts)]
+    df = normalized_records(spark.createDataFrame(rows, "rid long, source string, entity_id string, business_name string, business_address string, country string"))
+    got = {r["rid"]: (r["name_norm"], r["addr_norm"]) for r in df.collect()}
+    expected = ["first cafe", "no 5", "\u1100\u1161\u1102\u1161 mart", "acme 1 2"]
+    assert [got[i] for i in range(len(texts))] == [(t, t) for t in expected]
+
+
 def test_broadcast_and_shuffle_agree(records):
     a, b = (B.candidates(records, B.BlockingConfig(broadcast_records=n)) for n in (0, 10**6))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
