@@ -8,14 +8,19 @@ Vectors lie in blocks by a hash of their id, queries too; every query block meet
 its own, so memory is bounded by the block sizes and nothing grows but the number of tasks. Each task keeps k rows
 for each query, and a window with a group limit merges them.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do those with a
-component beyond 2**31 after scaling; vectors are compared with those of equal length only; rows with equal ids are
+Vectors with a component too large for 64-bit products (wide ones) have no cells: within the same tasks they are
+compared with every vector in whole numbers of any size, and scores are ranked by their exact values.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part; a score beyond 64 bits is
+shown as the nearest number of 64 bits; vectors are compared with those of equal length only; rows with equal ids are
 candidates of their own, but a query's own id is none, and equal query ids are one query; equal scores go to the
 smaller id; an empty table gives no rows. Columns other than the id and the vector are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +37,29 @@ READ_AT_ONCE = 128
 
 
 def whole_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """vec_id and v: floor(scale * component) of the vectors that take part."""
-    scaled = F.transform(F.col(vector_column), lambda x: x.cast("double") * float(scale))
-    usable = F.forall(F.col("s"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**31))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), scaled.alias("s"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("s").isNotNull() & (F.size("s") > 0)).filter(usable)
-    return rows.select("vec_id", F.transform("s", lambda x: F.floor(x)).alias("v"))
+    """vec_id, v: floor(scale * component), and raw of the vectors that take part. v is null for wide vectors, raw for others."""
+    raw = F.transform(F.col(vector_column), lambda x: x.cast("double"))
+    usable = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), raw.alias("raw"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & (F.size("raw") > 0)).filter(usable)
+    # products of vectors within this and of cells' corners (up to three times as far) sum up to less than 2**62
+    most = F.sqrt(F.lit(2.0**60) / F.size("raw")) / 2
+    narrow = F.forall("raw", lambda x: F.abs(x * float(scale)) < most)
+    return rows.select("vec_id", F.when(narrow, F.transform("raw", lambda x: F.floor(x * float(scale)))).alias("v"), F.when(~narrow, F.col("raw")).alias("raw"))
+
+
+def whole_number(x: float, scale: int) -> int:
+    """floor(scale * x). From 2**53 on every double is whole, and the product is taken without rounding or overflow."""
+    return int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale)
+
+
+def rank_key(score: int) -> bytes:
+    """Orders scores beyond 64 bits among themselves and against the limits that they are shown as."""
+    if -(2**63) <= score < 2**63:
+        return b"\x01"
+    size = (abs(score).bit_length() + 7) // 8
+    told = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + told if score > 0 else b"\x00" + bytes(255 - x for x in told)
 
 
 class Cells:
@@ -99,6 +121,22 @@ def _top(bounds: np.ndarray, n: int) -> np.ndarray:
     return places[np.argsort(-bounds[places], kind="stable")]
 
 
+def compare_all(query_ids: list[int], queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """As search_block, by every score in whole numbers of any size (arrays of Python's)."""
+    queries, best = queries.astype(object), [[] for _ in query_ids]
+    for i in range(0, len(ids), QUERY_BLOCK):
+        some, some_ids = exact[i : i + QUERY_BLOCK].astype(object), ids[i : i + QUERY_BLOCK].tolist()
+        for j, query_id in enumerate(query_ids):
+            scored = ((-s, n) for s, n in zip((some @ queries[j]).tolist(), some_ids) if n != query_id)
+            best[j] = heapq.nsmallest(k, [*best[j], *scored])
+    for query_id, found in zip(query_ids, best):
+        yield query_id, [n for _, n in found], [-s for s, _ in found]
+
+
+def _wide_matrix(column: pa.Array) -> np.ndarray:
+    return np.array([[int(x) for x in text.split()] for text in column.to_pylist()], object)
+
+
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -118,47 +156,64 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
                 part = np.stack([values[a : a + size] for a in at[sizes == size]])
                 yield pa.RecordBatch.from_pydict({"size": [size] * size, "i": list(range(size)), "low": part.min(0), "high": part.max(0), "n": [len(part)] * size})
 
-    spans = whole.select("v").mapInArrow(ranges, "size long, i long, low long, high long, n long")
+    spans = whole.filter("v IS NOT NULL").select("v").mapInArrow(ranges, "size long, i long, low long, high long, n long")
     # one row for each dimension of each vector length
     found = spans.groupBy("size", "i").agg(F.min("low"), F.max("high"), F.sum("n")).orderBy("size", "i").collect()
     by_size = {s: [r for r in found if r[0] == s] for s in {r[0] for r in found}}
     cells = {s: Cells(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), bits) for s, rows in by_size.items()}
-    total = max([1, *(rows[0][4] for rows in by_size.values())])
-    n_blocks = -(-total // VECTOR_BLOCK)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, exact, sizes = [], [], []
-            for v in batch.column("v"):
+            codes, exact, sizes, wide = [], [], [], []
+            for v, raw in zip(batch.column("v"), batch.column("raw")):
+                wide.append(not v.is_valid)
+                if wide[-1]:
+                    sizes.append(len(raw))
+                    codes.append(b"")
+                    exact.append(" ".join(str(whole_number(x, scale)) for x in raw.values.to_pylist()).encode())
+                    continue
                 x = np.asarray(v.values, np.int64)
                 codes.append(cells[len(x)].approximate(x).tobytes())
                 exact.append(x.astype("<i8").tobytes())
                 sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(exact, pa.binary())], names=["vec_id", "size", "codes", "exact"])
+            columns = [batch.column("vec_id"), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(codes, pa.binary()), pa.array(exact, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "size", "wide", "codes", "exact"])
 
-    stored = materialize(whole.mapInArrow(encode, "vec_id long, size long, codes binary, exact binary"), "vafile")
+    stored = materialize(whole.mapInArrow(encode, "vec_id long, size long, wide boolean, codes binary, exact binary"), "vafile")
+    # at most one row for each vector length
+    total = max([1, *(r["count"] for r in stored.groupBy("size").count().collect())])
+    n_blocks = -(-total // VECTOR_BLOCK)
     asked = stored.filter(is_query).dropDuplicates(["vec_id"])
     n_asked = max(1, asked.count())
     n_query_blocks = -(-n_asked // QUERY_BLOCK)
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.col("vec_id").alias("query_id"), "size", "exact", block(n_query_blocks, 1).alias("qb")).withColumn("db", each(n_blocks))
-    right = stored.select("vec_id", "size", "codes", "exact", block(n_blocks, 2).alias("db")).withColumn("qb", each(n_query_blocks))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    left = asked.select(F.col("vec_id").alias("query_id"), "size", "wide", "exact", block(n_query_blocks, 1).alias("qb")).withColumn("db", each(n_blocks))
+    right = stored.select("vec_id", "size", "wide", "codes", "exact", block(n_blocks, 2).alias("db")).withColumn("qb", each(n_query_blocks))
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())])
 
     def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return out.empty_table()
         size = asked.column("size")[0].as_py()
-        queries, exact, codes = _matrix(asked.column("exact"), "<i8"), _matrix(there.column("exact"), "<i8"), _matrix(there.column("codes"), "u1")
-        got = list(search_block(np.asarray(asked.column("query_id")), queries, np.asarray(there.column("vec_id")), codes, exact, cells[size], k))
-        return pa.Table.from_arrays(
-            [pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), *(pa.array(np.concatenate([g[i] for g in got]), pa.int64()) for i in (1, 2))], schema=out
-        )
+        got = []  # parts of the answer: query ids, ids and scores; scores in lists may be of any size
+        narrow = [t.filter(pa.compute.invert(t.column("wide"))) for t in (asked, there)]
+        wide = [t.filter(t.column("wide")) for t in (asked, there)]
+        if narrow[0].num_rows and narrow[1].num_rows:
+            queries, exact, codes = _matrix(narrow[0].column("exact"), "<i8"), _matrix(narrow[1].column("exact"), "<i8"), _matrix(narrow[1].column("codes"), "u1")
+            got += search_block(np.asarray(narrow[0].column("query_id")), queries, np.asarray(narrow[1].column("vec_id")), codes, exact, cells[size], k)
+        for a, b in ((narrow, wide), (wide, narrow), (wide, wide)):
+            if a[0].num_rows and b[1].num_rows:
+                read = [_wide_matrix(t.column("exact")) if side is wide else _matrix(t.column("exact"), "<i8") for t, side in ((a[0], a), (b[1], b))]
+                got += compare_all(a[0].column("query_id").to_pylist(), read[0], np.asarray(b[1].column("vec_id")), read[1], k)
+        ids = np.concatenate([np.asarray(g[1], np.int64) for g in got])
+        within = [np.asarray(g[2]) if isinstance(g[2], np.ndarray) else np.array([min(max(s, -(2**63)), 2**63 - 1) for s in g[2]], np.int64) for g in got]
+        ranked = [x for g in got for x in ([b"\x01"] * len(g[2]) if isinstance(g[2], np.ndarray) else map(rank_key, g[2]))]
+        return pa.Table.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), pa.array(ids), pa.array(np.concatenate(within), pa.int64()), pa.array(ranked, pa.binary())], schema=out)
 
     keys = ["size", "qb", "db"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -46,6 +46,23 @@ def test_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 10 == 0, 20).collect()) == brute(rows, 10, 20)
 
 
+def test_large_components(spark, monkeypatch):
+    """Finite vectors take part whatever their size; products leave 64 bits at several of these."""
+    monkeypatch.setattr(vafile, "VECTOR_BLOCK", 32)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(80)]
+    for i, large in enumerate([3e6, 33_554_432.0, -33_554_432.0, 1e9, 4e9, -4e9, 1e18, 1e19, -1e30, 3e38, -3e38, 2e38]):
+        v = [float(x) for x in rng.normal(0, 0.3, 8)]
+        v[i % 3] = large
+        rows.append((100 + 5 * i, v))
+    rows += [(200, rows[-1][1]), (201, [4e9, 1.0, -2.0]), (210, [1.0, 4e9, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 10 == 0, 15).collect())
+    assert got == [(q, rank, v, min(max(score, -(2**63)), 2**63 - 1)) for q, rank, v, score in brute(rows, 10, 15)]
+    keys = [vafile.rank_key(x) for x in (-(2**2000), -(2**64) - 1, -(2**64), -(2**63), 2**63 - 1, 2**63, 2**80, 2**2000)]
+    assert keys[3] == keys[4] and keys == sorted(keys) and len(set(keys)) == 7
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.top_k(df, F.col("vec_id") % 10 == 0, 20).count() == 0
