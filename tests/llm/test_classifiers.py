@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import SF, awkward, awkward_rows, empty
+from pyspark.sql import functions as F
 
 from kindred.llm import bytecnn, queries, textscan, toxicity
 from kindred.llm.training import auc
@@ -139,3 +140,15 @@ def test_held_out_accuracy(spark, name, label, size):
     truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
     assert auc(np.array([r["score"] for r in rows]), np.array([truth[r["doc_id"]] for r in rows])) > 0.9
+
+
+@pytest.mark.parametrize("few, recall, false_alarms", [(False, 0.88, 0.03), (True, 0.5, 0.015)])
+def test_toxicity_at_the_shipped_threshold(spark, few, recall, false_alarms):
+    """Held-out recall and false alarms after the shift to the prior; few: one toxic label in twelve is left to learn from."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learned = labels.filter((F.col("toxic") == 0) | (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(12)) == 0)) if few else labels
+    rows = [r for r in toxicity.held_out_scores(spark.read.parquet(f"{sf}/documents.parquet"), learned).collect() if r["held_out"] and r["doc_id"] in truth]
+    y, caught = np.array([truth[r["doc_id"]] for r in rows]), np.array([r["predicted"] for r in rows])
+    assert caught[y == 1].mean() >= recall and caught[y == 0].mean() <= false_alarms
