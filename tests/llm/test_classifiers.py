@@ -152,3 +152,11 @@ def test_toxicity_at_the_shipped_threshold(spark, few, recall, false_alarms):
     rows = [r for r in toxicity.held_out_scores(spark.read.parquet(f"{sf}/documents.parquet"), learned).collect() if r["held_out"] and r["doc_id"] in truth]
     y, caught = np.array([truth[r["doc_id"]] for r in rows]), np.array([r["predicted"] for r in rows])
     assert caught[y == 1].mean() >= recall and caught[y == 0].mean() <= false_alarms
+
+
+def test_toxicity_with_few_labels(spark):
+    """The known limit of README: some 400 labels, of which 51 are toxic."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.QUERIES["op4_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert auc(np.array([r["score"] for r in rows]), np.array([truth[r["doc_id"]] for r in rows])) > 0.8
