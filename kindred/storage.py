@@ -45,14 +45,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._kindred_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader has been written. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "_kindred_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _written[:] = [(s, p) for s, p in _written if p != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the shared folder has its own clean-up
             return
