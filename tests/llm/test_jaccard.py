@@ -51,11 +51,10 @@ def test_empty_table(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("heavy", [2, 5])
-def test_random_families(spark, heavy, monkeypatch):
-    """Copies, chains of near copies, passages shared by many, and low limits so that every path is taken."""
-    monkeypatch.setattr(jaccard, "BROADCAST_LONGS", 0 if heavy == 2 else 4_000_000)
-    r = random.Random(heavy)
+@pytest.mark.parametrize("blocks", [2, 5, 512])
+def test_random_families(spark, blocks):
+    """Copies, chains of near copies, passages shared by many, and small blocks so that every path is taken."""
+    r = random.Random(blocks)
     rows, passages = [], [sentence(45, i).split() for i in range(3)]
     for family in range(12):
         base = sentence(r.choice([6, 30, 70, 150]), 100 + family).split()
@@ -70,7 +69,7 @@ def test_random_families(spark, heavy, monkeypatch):
                 words = words[:at] + r.choice(passages) + words[at:]
             rows.append((len(rows), " ".join(words).upper() if k % 2 else " ".join(words)))
     rows += [(1000 + i, " ".join(passages[0] + ["own%d" % (10 * i + j) for j in range(12)])) for i in range(20)]
-    config = jaccard.JaccardConfig(heavy=heavy, cost=heavy - 1)
+    config = jaccard.JaccardConfig(block_rows=blocks, block_bytes=4_000_000 if blocks > 2 else 2000, chunk_bytes=3000, verifying=blocks, range_tokens=50)
     assert run(spark, rows, config) == brute(rows)
 
 
