@@ -1,26 +1,31 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions beside exact base patterns.
 
 Base spans come from patterns for each kind (leftmost, not overlapping, checked, never retried) and always stay. The
-network reads classes of characters (lower and upper case letters, digits, each telling sign, other signs, ...). A text
-is cut into tokens (a word and the white space after it, TOKEN_CHARS characters at most); windows are WINDOW tokens
-at every second token, so that neighbours overlap. Each window is decoded by itself (Viterbi over emissions and
-transitions); a token takes its tags from the window in which more of the text stands before it, and runs of
-one tag over the whole text, whatever windows they cross, are the network's spans. Those that overlap no base span are
-added.
-
-Windows of prose repeat when read by character classes: a process remembers (by a 64-bit hash, in bounded memory) what
-it has decoded, so every window is decoded but equal ones once.
-
-Training: labelled spans are the base spans of at most TRAIN_DOCS documents (those with the lowest hashes of their
-ids, 4,000 characters of each) and of generated data of every kind that is put between their words.
+network reads characters: each of ASCII by itself, others by a hash of the code point. A text is cut into windows of
+WINDOW characters that overlap by WINDOW - STRIDE, more than the usual datum. Every window is decoded by itself (Viterbi
+over emissions and transitions); a window whose emissions prove that no path with tags beats "nothing" needs no
+recursion for that. Each span found carries its gain, the score by which its path beats "nothing".
+
+Windows are reconciled globally: spans that their windows' edges cut and that meet are joined, one that an edge cuts
+yields to a span of its kind that another window sees across the edge, and of all spans of a text the set without
+overlaps and with the largest sum of gains is kept. Spans are trimmed of white space and stops
+and then checked for what a network can't count: an address of mail has an at-sign, written or spelt; a card's 13 to
+19 digits pass Luhn; a phone has 7 to 15 digits; an internet address parses. Those that overlap no base span are added.
+
+Training: windows drawn from anywhere in the whole texts of at most TRAIN_DOCS documents (those with the lowest hashes
+of their ids), with generated data of every kind put between their words. Labels are the places where data were put,
+which include forms that the base patterns miss (no country code, spelt signs, other separators, hexadecimal
+addresses, data that run into each other), and the base spans of the texts.
 
 Defined cases: a null or empty text has no spans; rows that repeat get equal spans; an empty table gives no rows and
 trains on generated text alone. Places count code points, ends are exclusive. Columns other than doc_id and text are
-kept as they are by ``find_spans`` and ``masked``.
+kept as they are by ``find_spans`` and ``masked``, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -35,21 +40,12 @@ from kindred.llm.training import Adam, softsign
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + len(KINDS)
-TOKEN_CHARS, WINDOW, STRIDE = 48, 3, 2
-HIDDEN = 12
-TRAIN_DOCS, TRAIN_CHARS = 400, 4000
-MEMORY = 600_000
-
-# Signs that have a class of their own; the others follow by kind of character.
-SIGNS = "@.-+()_%,:/"
-CLASSES = len(SIGNS) + 8
-_CLASS = np.zeros(256, np.uint8)
-for _c in range(256):
-    _ch = chr(_c)
-    _CLASS[_c] = (
-        8 + SIGNS.index(_ch) if _ch in SIGNS else 1 if "a" <= _ch <= "z" else 2 if "A" <= _ch <= "Z" else 3 if "0" <= _ch <= "9" else 4 if _ch == " "
-        else 5 if _c in (9, 10, 11, 12, 13) else 6 if _c < 128 else 7
-    )
+WINDOW, STRIDE = 448, 384
+BATCH = 1024
+HIDDEN = 8
+TRAIN_DOCS = 400
+ASCII, HASHED = 128, 64
+CHARACTERS = ASCII + HASHED
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,297 +90,401 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def classes(text: str) -> np.ndarray:
+def characters(text: str) -> np.ndarray:
+    """The network's input for each code point."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 256, _CLASS[np.minimum(points, 255)], 7).astype(np.uint8)
+    return np.where(points < ASCII, points, ASCII + ((points * np.uint32(0x9E3779B1)) >> np.uint32(26))).astype(np.uint8)
 
 
-def tokens(kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the tokens of several texts (at: where each begins, and the end), and the first token of each text."""
-    gap = (kinds == 4) | (kinds == 5)
-    first = np.zeros(len(kinds), bool)
-    first[1:] = gap[:-1] & ~gap[1:]
-    first[at[:-1][at[:-1] < len(kinds)]] = True
-    places = np.flatnonzero(first)
-    offset = np.arange(len(kinds)) - np.repeat(places, np.diff(np.append(places, len(kinds))))
-    starts = np.flatnonzero(offset % TOKEN_CHARS == 0)
-    return starts, np.searchsorted(starts, at)
+def _turned(n: np.ndarray, steps: int) -> np.ndarray:
+    """(steps, B) places that turn the first n of each column around and leave the rest."""
+    t = np.arange(steps)[:, None]
+    return np.where(t < n, n - 1 - t, t)
 
 
 class Network:
+    """Arrays of both directions lie side by side (first axis); the second one reads each window turned around."""
+
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
         f = lambda *s, scale: r.normal(0, scale, s).astype(np.float32)
-        self.p = {"bias": np.zeros((TAGS, 1), np.float32), "out": f(TAGS, 2 * HIDDEN, scale=0.3), "turn": f(TAGS, TAGS, scale=0.1), "begin": np.zeros((TAGS, 1), np.float32)}
-        for way in "fb":
-            self.p[f"in_{way}"] = f(4 * HIDDEN, CLASSES, scale=0.5)
-            self.p[f"in_{way}"][HIDDEN : 2 * HIDDEN] += 1.0  # gates that keep the state begin open
-            self.p[f"u_{way}"] = f(4 * HIDDEN, HIDDEN, scale=0.25)
-        self.forget()
-
-    def forget(self) -> None:
-        self._plain: set[int] = set()
-        self._tagged: dict[int, bytes] = {}
-
-    def _run(self, way: str, kinds: np.ndarray, there: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        w, u = self.p[f"in_{way}"], self.p[f"u_{way}"]
-        n, batch = kinds.shape
-        h, c = (np.zeros((HIDDEN, batch), w.dtype) for _ in "hc")
-        states, cache = np.empty((n, HIDDEN, batch), w.dtype), []
-        for t in range(n) if way == "f" else range(n - 1, -1, -1):
-            s = softsign(w[:, kinds[t]] + u @ h)
-            i, k, o = (0.5 + 0.5 * s[j * HIDDEN : (j + 1) * HIDDEN] for j in range(3))
-            g = s[3 * HIDDEN :]
-            new = (k * c + i * g) * there[t]
-            shown = softsign(new)
+        self.p = {
+            "in": f(2, CHARACTERS, 4 * HIDDEN, scale=0.5), "u": f(2, HIDDEN, 4 * HIDDEN, scale=0.25), "out": f(2, HIDDEN, TAGS, scale=0.3),
+            "bias": np.zeros(TAGS, np.float32), "turn": f(TAGS, TAGS, scale=0.1), "begin": np.zeros(TAGS, np.float32),
+        }
+        self.p["in"][:, :, HIDDEN : 2 * HIDDEN] += 1.0  # gates that keep the state begin open
+
+    def emissions(self, kinds: np.ndarray, n: np.ndarray, keep: bool = False):
+        """kinds: (T, B) inputs of windows of n characters each. (T, B, TAGS) scores of tags; past n they mean nothing."""
+        p, h4 = self.p, 4 * HIDDEN
+        steps, batch = kinds.shape
+        even = not keep and bool((n == steps).all())
+        back = None if even else _turned(n, steps)
+        way = (kinds, kinds[::-1]) if even else np.stack([kinds, np.take_along_axis(kinds, back, 0)])
+        kind = p["in"].dtype
+        h, c = np.zeros((2, batch, HIDDEN), kind), np.zeros((2, batch, HIDDEN), kind)
+        s, tmp, small = np.empty((2, batch, h4), kind), np.empty((2, batch, h4), kind), np.empty_like(c)
+        scores, cache = np.empty((steps, 2, batch, TAGS), kind), []
+        for t in range(steps):
+            for d in (0, 1):
+                np.take(p["in"][d], way[d][t], axis=0, out=s[d], mode="clip")
+            np.matmul(h, p["u"], out=tmp)
+            s += tmp
+            np.abs(s, out=tmp)
+            tmp += 1
+            s /= tmp  # softsign; a gate is half of 1 + its value
+            gates = s[..., : 3 * HIDDEN]
+            gates += 1
+            before = c.copy() if keep else c
+            np.multiply(s[..., :HIDDEN], s[..., 3 * HIDDEN :], out=small)
+            c = np.multiply(c, s[..., HIDDEN : 2 * HIDDEN], out=None if keep else c)
+            c += small
+            c *= 0.5
+            np.abs(c, out=small)
+            small += 1
+            np.divide(c, small, out=small)
+            was = h
+            h = np.multiply(small, s[..., 2 * HIDDEN : 3 * HIDDEN], out=None if keep else h)
+            h *= 0.5
+            np.matmul(h, p["out"], out=scores[t])
             if keep:
-                cache.append((t, h, c, s, shown))
-            c, h = new, o * shown
-            states[t] = h
-        return states, cache
-
-    def _back(self, way: str, d: np.ndarray, kinds: np.ndarray, there: np.ndarray, cache: list, grads: dict) -> None:
-        w, u = self.p[f"in_{way}"], self.p[f"u_{way}"]
-        dw, du = np.zeros_like(w), np.zeros_like(u)
-        dh, dc = (np.zeros((HIDDEN, kinds.shape[1]), w.dtype) for _ in "hc")
-        for t, h, c, s, shown in reversed(cache):
-            dh = dh + d[t]
-            i, k, o = (0.5 + 0.5 * s[j * HIDDEN : (j + 1) * HIDDEN] for j in range(3))
-            g = s[3 * HIDDEN :]
-            dc = (dc + dh * o * (1 - np.abs(shown)) ** 2) * there[t]
-            ds = np.concatenate([0.5 * dc * g, 0.5 * dc * c, 0.5 * dh * shown, dc * i])
-            da = ds * (1 - np.abs(s)) ** 2
-            np.add.at(dw.T, kinds[t], da.T)
-            du += da @ h.T
-            dh, dc = u.T @ da, dc * k
-        grads[f"in_{way}"], grads[f"u_{way}"] = dw, du
-
-    def emissions(self, kinds: np.ndarray, there: np.ndarray, keep: bool = False):
-        """kinds: (T, B) classes. (T, TAGS, B) scores of tags."""
-        f, cf = self._run("f", kinds, there, keep)
-        b, cb = self._run("b", kinds, there, keep)
-        both = np.concatenate([f, b], axis=1)
-        e = np.matmul(self.p["out"], both) + self.p["bias"]
-        return (e, (both, cf, cb)) if keep else e
-
-    def loss_gradients(self, kinds: np.ndarray, there: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+                cache.append((was, before, s.copy(), c, small.copy(), h))
+        e = scores[:, 0] + (scores[::-1, 1] if even else scores[:, 1][back, np.arange(batch)])
+        e += p["bias"]
+        return (e, way, back, cache) if keep else e
+
+    def _back(self, de: np.ndarray, way: np.ndarray, back: np.ndarray, cache: list) -> dict[str, np.ndarray]:
+        p, steps, batch = self.p, de.shape[0], de.shape[1]
+        d_out = np.stack([de, np.take_along_axis(de, back[:, :, None], 0)], axis=1)  # (T, 2, B, TAGS)
+        grads = {"out": np.zeros_like(p["out"]), "u": np.zeros_like(p["u"])}
+        da = np.empty((steps, 2, batch, 4 * HIDDEN), p["in"].dtype)
+        dh, dc = np.zeros((2, batch, HIDDEN), da.dtype), np.zeros((2, batch, HIDDEN), da.dtype)
+        out_t, u_t = p["out"].transpose(0, 2, 1), p["u"].transpose(0, 2, 1)
+        for t in range(steps - 1, -1, -1):
+            was, before, s, c, shown, h = cache[t]
+            grads["out"] += np.matmul(h.transpose(0, 2, 1), d_out[t])
+            dh = dh + np.matmul(d_out[t], out_t)
+            i, k, o, g = (s[..., j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))  # i, k, o are twice the gates
+            dc = dc + 0.5 * dh * o * (1 - np.abs(shown)) ** 2
+            ds = np.concatenate([0.5 * dc * g, 0.5 * dc * before, 0.5 * dh * shown, 0.5 * dc * i], axis=2)
+            plain = s.copy()
+            plain[..., : 3 * HIDDEN] -= 1
+            da[t] = ds * (1 - np.abs(plain)) ** 2
+            grads["u"] += np.matmul(was.transpose(0, 2, 1), da[t])
+            dh, dc = np.matmul(da[t], u_t), 0.5 * dc * k
+        grads["in"] = np.zeros_like(p["in"])
+        for d in (0, 1):
+            kinds, flat = way[d].reshape(-1), da[:, d].reshape(-1, 4 * HIDDEN)
+            order = np.argsort(kinds, kind="stable")
+            first = np.flatnonzero(np.diff(kinds[order].astype(np.int64), prepend=-1))
+            grads["in"][d][kinds[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+        return grads
+
+    def loss_gradients(self, kinds: np.ndarray, n: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood of tags (T, B) under the CRF, by the forward-backward recursions."""
-        e, (both, cf, cb) = self.emissions(kinds, there, keep=True)
-        n, _, batch = e.shape
-        turn, e64 = self.p["turn"].astype(np.float64), e.astype(np.float64)
-        log_sum = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
-        a, z = np.empty((n, TAGS, batch)), np.zeros((n, TAGS, batch))
-        a[0] = self.p["begin"] + e64[0]
-        for t in range(1, n):
-            a[t] = np.where(there[t] > 0, log_sum(a[t - 1][:, None] + turn[:, :, None], 0) + e64[t], a[t - 1])
-        for t in range(n - 2, -1, -1):
-            z[t] = np.where(there[t + 1] > 0, log_sum(turn[:, :, None] + (e64[t + 1] + z[t + 1])[None], 1), z[t + 1])
-        total = log_sum(a[-1], 0)
-        one = (np.arange(TAGS)[None, :, None] == tags[:, None]) * there[:, None]
-        d = (np.exp(a + z - total) * there[:, None] - one) / batch
-        d_turn = np.zeros_like(turn)
-        gold = (one[0] * (self.p["begin"] + e64[0])).sum(0)
-        for t in range(1, n):
-            pair = np.exp(a[t - 1][:, None] + turn[:, :, None] + (e64[t] + z[t])[None] - total) * there[t]
-            d_turn += (pair.sum(2) - (one[t - 1] @ (one[t] * there[t]).T)) / batch
-            gold += ((turn[tags[t - 1], tags[t]] + (one[t] * e64[t]).sum(0)) * there[t])
+        e, way, back, cache = self.emissions(kinds, n, keep=True)
+        steps, batch = kinds.shape
+        there = (np.arange(steps)[:, None] < n).astype(np.float64)
+        turn, begin = self.p["turn"].astype(np.float64), self.p["begin"].astype(np.float64)
+        # likelihoods, scaled at every step
+        e64 = e.astype(np.float64)
+        top = e64.max(2, keepdims=True)
+        like, move = np.exp(e64 - top), np.exp(turn)
+        a, z = np.empty((steps, batch, TAGS)), np.ones((steps, batch, TAGS))
+        scale = np.ones((steps, batch))
+        a[0] = np.exp(begin) * like[0]
+        scale[0] = a[0].sum(1)
+        a[0] /= scale[0][:, None]
+        for t in range(1, steps):
+            new = (a[t - 1] @ move) * like[t]
+            scale[t] = new.sum(1)
+            a[t] = np.where(there[t][:, None] > 0, new / scale[t][:, None], a[t - 1])
+        for t in range(steps - 2, -1, -1):
+            new = ((like[t + 1] * z[t + 1]) @ move.T) / scale[t + 1][:, None]
+            z[t] = np.where(there[t + 1][:, None] > 0, new, 1.0)
+        total = ((np.log(scale) + top[..., 0]) * there).sum(0)
+        one = np.zeros((steps, batch, TAGS))
+        np.put_along_axis(one, tags[:, :, None], 1.0, 2)
+        one *= there[:, :, None]
+        d = (a * z * there[:, :, None] - one) / batch
+        pairs = a[:-1, :, :, None] * move * ((like[1:] * z[1:]) * (there[1:] / scale[1:])[:, :, None])[:, :, None, :]
+        gold_pairs = one[:-1, :, :, None] * one[1:, :, None, :]
+        d_turn = (pairs.sum((0, 1)) - gold_pairs.sum((0, 1))) / batch
+        gold = (one * e64).sum((0, 2)) + (gold_pairs * turn).sum((0, 2, 3)) + one[0] @ begin
         d = d.astype(e.dtype)
-        grads = {"turn": d_turn.astype(e.dtype), "begin": d[0].sum(1, keepdims=True), "bias": d.sum((0, 2))[:, None], "out": np.einsum("tkb,thb->kh", d, both)}
-        d_both = np.matmul(self.p["out"].T, d)
-        self._back("f", d_both[:, :HIDDEN], kinds, there, cf, grads)
-        self._back("b", d_both[:, HIDDEN:], kinds, there, cb, grads)
+        grads = {"turn": d_turn.astype(e.dtype), "begin": d[0].sum(0), "bias": d.sum((0, 1))} | self._back(d, way, back, cache)
         return float((total - gold).mean()), grads
 
-    def decode(self, kinds: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """The best tags (T, B)."""
-        e, turn = self.emissions(kinds, there), self.p["turn"]
-        n, _, batch = e.shape
-        best, back = self.p["begin"] + e[0], np.zeros((n, TAGS, batch), np.uint8)
-        for t in range(1, n):
-            step = best[:, None] + turn[:, :, None]
-            come = step.argmax(0)
-            new = np.take_along_axis(step, come[None], 0)[0] + e[t]
-            back[t] = np.where(there[t] > 0, come, np.arange(TAGS)[:, None])
-            best = np.where(there[t] > 0, new, best)
-        tags = np.empty((n, batch), np.uint8)
-        tags[-1] = best.argmax(0)
-        for t in range(n - 1, 0, -1):
-            tags[t - 1] = back[t][tags[t], np.arange(batch)]
+    def viterbi(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The best tags (T, B) of windows of n characters with emissions (T, B, TAGS); 0 past their ends."""
+        turn, best = self.p["turn"].T.copy(), self.p["begin"] + e[0]
+        steps, batch = e.shape[:2]
+        back = np.zeros((steps, batch, TAGS), np.uint8)
+        last = np.empty_like(best)  # at each window's end
+        for t in range(1, steps):
+            last[n == t] = best[n == t]
+            come = best[:, None, :] + turn  # (B, to, from)
+            back[t] = come.argmax(2)
+            best = come.max(2) + e[t]
+        last[n == steps] = best[n == steps]
+        tags, now, each = np.zeros((steps, batch), np.int64), last.argmax(1), np.arange(batch)
+        for t in range(steps - 1, -1, -1):
+            inside = t < n
+            tags[t] = np.where(inside, now, 0)
+            now = np.where(inside, back[t, each, now], now)
         return tags
 
-    def tags(self, kinds: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A tag for each character of several texts."""
-        out = np.zeros(len(kinds), np.uint8)
-        starts, first = tokens(kinds, at)
-        ends = np.append(starts[1:], len(kinds))
-        n = np.diff(first)
+    def _most(self, margin: np.ndarray) -> np.ndarray:
+        """An upper bound of any path's advantage over no tags at all: the best run of tags, at the cheapest transitions.
+
+        margin: (T, B), by how much the best tag's emission beats that of none.
+        """
+        turn, begin = self.p["turn"] - self.p["turn"][0, 0], self.p["begin"] - self.p["begin"][0]
+        within = float(turn[1:, 1:].max())
+        run = best = margin[0] + within
+        for row in margin[1:]:
+            run = np.maximum(run, 0) + row
+            run += within
+            best = np.maximum(best, run)
+        return best - within + max(float(turn[0, 1:].max()), float(begin[1:].max())) + max(float(turn[1:, 0].max()), 0.0)
+
+    def _gain(self, e: np.ndarray, a: int, b: int, k: int) -> float:
+        """By how much the score with tag k from a to b beats that without."""
+        turn, begin, n = self.p["turn"], self.p["begin"], len(e)
+        gain = float((e[a:b, k] - e[a:b, 0]).sum()) + (b - a - 1) * float(turn[k, k] - turn[0, 0])
+        gain += float(turn[0, k] - turn[0, 0]) if a else float(begin[k] - begin[0])
+        return gain + (float(turn[k, 0] - turn[0, 0]) if b < n else 0.0)
+
+    def spans(self, texts: list[str]) -> list[list[Span]]:
+        """Reconciled spans of each text."""
+        at = np.cumsum([0, *map(len, texts)])
+        kinds = characters("".join(texts))
+        n = np.diff(at)
         count = np.where(n > 0, np.maximum(1, -(-(n - (WINDOW - STRIDE)) // STRIDE)), 0)
         row = np.repeat(np.arange(len(n)), count)
-        if not len(row):
-            return out
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        head = first[:-1][row] + k * STRIDE
-        tail = np.minimum(head + WINDOW, first[1:][row])
-        w_start, w_end = starts[head], ends[tail - 1]
-        keys = textscan.span_hashes(kinds, w_start, w_end)
-        unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        remembered.claim(self)
-        if len(self._plain) + len(self._tagged) > MEMORY:
-            self.forget()
-        names = unique.tolist()
-        fresh = [i for i, x in enumerate(names) if x not in self._plain and x not in self._tagged]
-        self._learn(kinds, [names[i] for i in fresh], w_start[where[fresh]], w_end[where[fresh]])
-        tagged = np.fromiter((x in self._tagged for x in names), bool, len(names))[back]
-        # what the window settles: its second and third token, at a text's beginning also the first
-        low = np.where(k == 0, w_start, starts[np.minimum(head + 1, tail - 1)])
-        last = k == count[row] - 1
-        high = np.where(last, w_end, starts[np.minimum(head + 3, len(starts) - 1)])
-        for i in np.flatnonzero(tagged).tolist():
-            found = np.frombuffer(self._tagged[int(keys[i])], np.uint8)
-            a, b = int(low[i]), int(high[i])
-            out[a:b] = found[a - int(w_start[i]) : b - int(w_start[i])]
-        return out
-
-    def _learn(self, kinds: np.ndarray, names: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
-        order = np.argsort(ends - starts, kind="stable")
-        for i in range(0, len(order), 512):
-            some = order[i : i + 512]
-            n = ends[some] - starts[some]
-            t = np.arange(int(n.max()))[:, None]
-            there = t < n
-            got = self.decode(kinds[np.where(there, starts[some] + t, 0)], there.astype(np.float32)) * there
-            plain = ~got.any(0)
-            for j, x in enumerate(some.tolist()):
-                if plain[j]:
-                    self._plain.add(names[x])
-                else:
-                    self._tagged[names[x]] = got[: n[j], j].tobytes()
-
-    def __getstate__(self):
-        return self.p
-
-    def __setstate__(self, p):
-        self.p = p
-        self.forget()
-
-
-def generated(r: np.random.Generator) -> Span:
-    """A made-up datum: kind, text and 0."""
+        first = at[:-1][row] + k * STRIDE
+        size = np.minimum(WINDOW, n[row] - k * STRIDE)
+        found: list[list[tuple[int, int, int, float, bool, bool]]] = [[] for _ in texts]
+        order = np.argsort(-size, kind="stable")  # windows of like length together
+        for i in range(0, len(order), BATCH):
+            some = order[i : i + BATCH]
+            t = np.arange(int(size[some].max()))[:, None]
+            inside = t < size[some]
+            e = self.emissions(kinds[np.where(inside, first[some] + t, 0)], size[some])
+            margin = np.maximum(np.maximum(e[:, :, 1], e[:, :, 2]), np.maximum(e[:, :, 3], e[:, :, 4])) - e[:, :, 0]
+            able = np.flatnonzero(self._most(np.where(inside, margin, -1e9)) >= 0)
+            if not len(able):
+                continue
+            best = self.viterbi(e[:, able], size[some[able]])
+            for c in np.flatnonzero(best.any(0)).tolist():
+                w = int(some[able[c]])
+                m, start = int(size[w]), int(first[w] - at[row[w]])
+                own, tags = e[:m, able[c]], best[:m, c]
+                edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), m]
+                for a, b in zip(edges, edges[1:]):
+                    if tags[a]:
+                        cut_left, cut_right = a == 0 and start > 0, b == m and start + m < n[row[w]]
+                        found[row[w]].append((start + a, start + b, int(tags[a]), self._gain(own, a, b, int(tags[a])), cut_left, cut_right))
+        return [[(KINDS[k - 1], a, b) for a, b, k in reconciled(x)] if x else [] for x in found]
+
+
+def reconciled(found: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int]]:
+    """(start, end, tag) of the best spans without overlaps. found: start, end, tag, gain, cut on the left, on the right."""
+    joined: list[tuple[int, int, int, float, bool, bool]] = []
+    for s in sorted(found):
+        for i in range(len(joined) - 1, max(-1, len(joined) - 9), -1):  # what overlaps begins shortly before
+            o = joined[i]
+            if o[2] != s[2] or not o[0] <= s[0] < o[1]:
+                continue
+            if s[4] and o[5]:  # one window cuts the end, the next one the beginning: both see one datum
+                joined[i] = (o[0], max(o[1], s[1]), o[2], o[3] + s[3], o[4], s[5])
+                break
+            if s[4]:  # the window before sees past the edge that cuts s
+                break
+            if o[5]:  # the next window sees past the edge that cuts o
+                joined[i] = s
+                break
+        else:
+            joined.append(s)
+    joined.sort(key=lambda s: (s[1], s[0]))
+    ends = [s[1] for s in joined]
+    best = [(0.0, -1, 0)]  # of the first i spans: the sum, the last one taken, how many come before it
+    for i, s in enumerate(joined):
+        before = bisect.bisect_right(ends, s[0], 0, i)
+        take = best[before][0] + s[3]
+        best.append((take, i, before) if take > best[i][0] else (best[i][0], -1, i))
+    out, i = [], len(joined)
+    while i:
+        _, taken, i = best[i]
+        if taken >= 0:
+            out.append(joined[taken][:3])
+    return out[::-1]
+
+
+def generated(r: np.random.Generator) -> tuple[str, str]:
+    """A made-up datum: kind and text. About half of them are of forms that the base patterns miss."""
+    pick = lambda *options: str(r.choice(options))
     digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
     word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(2, 9))))
-    kind = KINDS[int(r.integers(len(KINDS)))]
+    shape = lambda form: "".join(digits(1) if c == "#" else c for c in form)
+    kind, missed = KINDS[int(r.integers(len(KINDS)))], r.random() < 0.5
     if kind == "email":
-        local = word() + (r.choice([".", "_", "-", ""]) + (digits(2) if r.random() < 0.5 else word()) if r.random() < 0.8 else "")
-        return kind, f"{local}@{word()}{digits(1) if r.random() < 0.4 else ''}.{word() + '.' if r.random() < 0.4 else ''}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", 0
+        local = word() + (pick(".", "_", "-", "") + (digits(2) if r.random() < 0.5 else word()) if r.random() < 0.8 else "")
+        host = f"{word()}{digits(1) if r.random() < 0.4 else ''}.{word() + '.' if r.random() < 0.4 else ''}{pick('com', 'org', 'net', 'de', 'fr')}"
+        if missed and r.random() < 0.3:
+            host = pick("ü", "ö", "é", "ñ") + host
+            return kind, f"{local}@{host}"
+        return kind, f"{local}{pick(' (at) ', ' [at] ', '(at)', '[at]', ' @ ') if missed else '@'}{host}"
     if kind == "ip":
-        return kind, ".".join(str(x) for x in r.integers(0, 256, 4)), 0
+        if not missed:
+            return kind, ".".join(str(x) for x in r.integers(0, 256, 4))
+        part = lambda: f"{int(r.integers(1, 65536)):x}"
+        whole = ":".join(part() for _ in range(8))
+        return kind, whole if r.random() < 0.5 else ":".join(part() for _ in range(int(r.integers(1, 5)))) + "::" + ":".join(part() for _ in range(int(r.integers(1, 3))))
     if kind == "card":
         body = digits(int(r.choice([14, 15, 15, 15, 18])))
         body += next(c for c in "0123456789" if luhn(body + c))
-        between = str(r.choice(["", "", " ", "-"]))
-        return kind, between.join(body[i : i + 4] for i in range(0, len(body), 4)), 0
-    form = str(r.choice(["+1 (###) ###-####", "+## ### #######", "+##.###.###.####", "+1-###-###-####", "+###########"]))
-    return kind, "".join(digits(1) if c == "#" else c for c in form), 0
+        between = pick(".", "/", "  ") if missed else pick("", "", " ", "-")
+        return kind, between.join(body[i : i + 4] for i in range(0, len(body), 4))
+    if missed:
+        return kind, shape(pick("(0##) ###-####", "0## #######", "###-###-####", "(###) ###-####", "0###/######", "00## ## #######", "0##-#######"))
+    return kind, shape(pick("+1 (###) ###-####", "+## ### #######", "+##.###.###.####", "+1-###-###-####", "+###########"))
 
 
 def decoy(r: np.random.Generator) -> str:
-    """What is no personal datum: hexadecimal and mixed identifiers, numbers, dates, versions, addresses of pages."""
+    """What is no personal datum: hexadecimal and mixed identifiers, numbers, dates, times, versions, addresses of pages."""
     hexadecimal = "".join(r.choice(list("0123456789abcdef"), int(r.integers(6, 45))))
     digits = "".join(map(str, r.integers(0, 10, int(r.integers(1, 12)))))
     return str(r.choice([
-        hexadecimal, hexadecimal.upper(), "sk_" + hexadecimal, "key-" + hexadecimal[:12], digits, digits[:2] + "." + digits[2:], f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}",
-        f"v{digits[:1]}.{digits[1:2]}.{digits[2:3]}", f"https://www.{hexadecimal[:6]}.com/{digits}", f"{digits[:3]}%", f"({digits[:4]})", f"{digits[:2]}:{digits[2:4]}",
+        hexadecimal, hexadecimal.upper(), "sk_" + hexadecimal, f'token = "{hexadecimal}"', "key-" + hexadecimal[:12], digits, digits[:2] + "." + digits[2:], f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}",
+        f"v{digits[:1]}.{digits[1:2]}.{digits[2:3]}", f"https://www.{hexadecimal[:6]}.com/{digits}", f"{digits[:3]}%", f"({digits[:4]})", f"{digits[:2]}:{digits[2:4]}", f"{digits[:1]}.0.",
+        f"({digits[:3]}, {digits[3:6]})", "@" + hexadecimal[:5], "at", "(at)", f"{digits[:2]}:{digits[2:4]}:{digits[4:6]}", f"+{digits[:2]}", f"no. {digits[:5]}", f"{digits[:3]}-{digits[3:6]}",
     ]))
 
 
-def training_windows(texts: list[str], r: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Classes and tags of windows of texts with generated data put in; those without any tag are thinned out."""
+def training_windows(texts: list[str], r: np.random.Generator, windows: int = 3000, length: int = 150) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and tags of windows drawn from anywhere in the texts, with generated data put in between words."""
     out = []
-    for text in texts:
-        words = text.split(" ")
-        for _ in range(1 + len(words) // 25):
-            words.insert(int(r.integers(len(words) + 1)), generated(r)[1] + str(r.choice(["", "", "", ".", ","])))
-            words.insert(int(r.integers(len(words) + 1)), decoy(r))
-        text = " ".join(words)
-        kinds, tags = classes(text), np.zeros(len(text), np.uint8)
-        for kind, start, end in base_spans(text):
-            tags[start:end] = np.where(tags[start:end] == 0, 1 + KINDS.index(kind), tags[start:end])
-        starts, _ = tokens(kinds, np.array([0, len(kinds)]))
-        ends = np.append(starts[1:], len(kinds))
-        for i in range(0, len(starts), STRIDE):
-            a, b = starts[i], ends[min(i + WINDOW, len(starts)) - 1]
-            if tags[a:b].any() or r.random() < 0.3:
-                out.append((kinds[a:b], tags[a:b]))
+    sizes = np.array([max(1, len(t)) for t in texts], float)
+    for i in r.choice(len(texts), windows, p=np.sqrt(sizes) / np.sqrt(sizes).sum()).tolist():
+        text = texts[i]
+        a = int(r.integers(max(1, len(text) - length)))
+        b = min(len(text), a + int(r.integers(20, length)))
+        base = [(s, e, k) for k, s, e in base_spans(text[max(0, a - 200) : b + 200])]
+        base = [(s - min(a, 200), e - min(a, 200), k) for s, e, k in base]  # places within the window
+        plain, known = text[a:b], np.zeros(b - a, np.int64)
+        for s, e, k in base:
+            known[max(0, s) : max(0, e)] = 1 + KINDS.index(k)
+        gaps = [j for j, ch in enumerate(plain) if ch == " " and not known[j]]
+        parts, tags, last = [], [], 0
+        puts = sorted(r.choice(gaps, min(len(gaps), int(r.integers(0, 4))), replace=False).tolist()) if gaps else []
+        for j in puts:
+            parts.append(plain[last : j + 1])
+            tags.append(known[last : j + 1])
+            last = j + 1
+            for _ in range(int(r.choice([1, 1, 2]))):
+                kind, datum = generated(r) if r.random() < 0.6 else ("", decoy(r))
+                shown = datum + str(r.choice([" ", " ", " ", ". ", ", ", "\n", "!! ", " | "]))
+                parts.append(shown)
+                tags.append(np.where(np.arange(len(shown)) < len(datum), 1 + KINDS.index(kind) if kind else 0, 0))
+        parts.append(plain[last:])
+        tags.append(known[last:])
+        whole = "".join(parts)
+        if whole:
+            out.append((characters(whole), np.concatenate(tags)))
     return out
 
 
-def train(texts: list[str], steps: int = 600, batch: int = 96, rate: float = 0.02, seed: int = 1) -> Network:
+def train(texts: list[str], steps: int = 700, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Network:
     r, net = np.random.default_rng(seed), Network(seed)
-    made = [" ".join("".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(1, 12)))) for _ in range(60)) for _ in range(40)]
-    windows = training_windows([*texts, *made], r)
+    letters = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(1, 12))))
+    made = [" ".join([letters() + str(r.choice(["", "", "", "", ",", ".", "!"])) for _ in range(60)]) for _ in range(40)]
+    windows = training_windows([*(t for t in texts if t), *made], r)
     windows.sort(key=lambda w: len(w[0]))
     adam = Adam(net.p, rate)
     for k in range(steps):
         adam.rate = rate * min(1.0, 2.0 * (1 - k / steps))
         middle = int(r.integers(len(windows)))
-        near = np.unique(np.clip(middle + r.integers(-2 * batch, 2 * batch, batch), 0, len(windows) - 1))  # of like length
+        near = np.unique(np.clip(middle + r.integers(-3 * batch, 3 * batch, batch), 0, len(windows) - 1))  # of like length
         some = [windows[i] for i in near]
         n = np.array([len(w[0]) for w in some])
         kinds, tags = (np.zeros((int(n.max()), len(some)), np.int64) for _ in "kt")
         for j, (a, b) in enumerate(some):
             kinds[: n[j], j], tags[: n[j], j] = a, b
-        there = (np.arange(len(kinds))[:, None] < n).astype(np.float32)
-        _, grads = net.loss_gradients(kinds, there, tags)
+        _, grads = net.loss_gradients(kinds, n, tags)
         adam.step(grads)
     return net
 
 
-def network_spans(tags: np.ndarray, text: str, base: list[Span]) -> list[Span]:
-    """Runs of a tag, without white space and stops at their edges, that overlap no base span."""
-    if not tags.any():
-        return []
-    edges = np.flatnonzero(np.diff(tags)) + 1
+_AT = re.compile(r"@|\(at\)|\[at\]")
+
+
+def _address(shown: str) -> bool:
+    try:
+        ipaddress.ip_address(shown)
+    except ValueError:
+        return False
+    return True
+
+
+_EDGE = " \t\r\n\x0b\x0c.,;:!?|\"'"
+
+
+def added_spans(found: list[Span], text: str, base: list[Span]) -> list[Span]:
+    """The network's spans without white space and stops at their edges, checked, that overlap no base span."""
     out = []
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)]):
-        if not tags[a]:
-            continue
-        kind = KINDS[tags[a] - 1]
-        while a < b and text[a] in " \t\r\n\x0b\x0c.,;:!?\"'":
+    for kind, a, b in found:
+        while a < b and text[a] in _EDGE:
             a += 1
-        while a < b and text[b - 1] in " \t\r\n\x0b\x0c.,;:!?\"'":
+        while a < b and text[b - 1] in _EDGE:
             b -= 1
-        if b - a >= 6 and all(b <= s or a >= e for _, s, e in base):
-            out.append((kind, a, b))
+        if a == b or any(a < e and s < b for _, s, e in base):
+            continue
+        shown = text[a:b]
+        digits = "".join(c for c in shown if c in "0123456789")
+        if kind == "email":
+            able = _AT.search(shown)
+        elif kind == "card":
+            able = 13 <= len(digits) <= 19 and luhn(digits)
+        elif kind == "phone":
+            able = 7 <= len(digits) <= 15
+        else:
+            able = _address(shown)
+        if not able:
+            continue
+        out.append((kind, a, b))
     return out
 
 
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> Network:
-    ids = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    ids = F.broadcast(ids.withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h").limit(limit))  # limit rows
-    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("text") - (TRAIN_CHARS - 1), F.lit(1)))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL").join(ids, "doc_id")
-    texts = texts.select("h", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).groupBy("h").agg(F.min("text").alias("text")).collect()
-    return train([r["text"] for r in sorted(texts, key=lambda r: r["h"])])
+    """A network trained with the whole texts of at most limit documents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    ids = rows.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h", "doc_id").limit(limit)  # limit rows
+    texts = rows.join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(texts, key=lambda r: (r["h"], r["doc_id"]))])
+
+
+def _spans_of(network: Network, texts: list[str]) -> Iterator[list[tuple[str, int, int, bool]]]:
+    """All spans of each text by start, then kind, and whether they are base spans."""
+    for text, found in zip(texts, network.spans(texts)):
+        base = base_spans(text)
+        spans = [(*s, True) for s in base] + [(*s, False) for s in added_spans(found, text, base)]
+        yield sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def find_spans(docs: DataFrame, name: str = "pii_spans", network: Network | None = None) -> DataFrame:
-    """docs and a new column: an array of (kind, start, end, base) by start, then kind."""
+    """docs and a column: an array of (kind, start, end, base) by start, then kind. A column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(network or fit(docs))
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.forget()
         for batch in batches:
-            for part in textscan.slices(batch, "text", 1_000_000):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                at = np.cumsum([0, *map(len, texts)])
-                tags = shared.value.tags(classes("".join(texts)), at)
-                rows = []
-                for text, a, b in zip(texts, at.tolist(), at[1:].tolist()):
-                    base = base_spans(text)
-                    extra = network_spans(tags[a:b], text, base)
-                    spans = [(*s, True) for s in base] + [(*s, False) for s in extra]
-                    spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-                    rows.append([dict(zip(("kind", "start", "end", "base"), s)) for s in spans])
+            for part in textscan.slices(batch, "text", 2_000_000):
+                texts = [t or "" for t in part.column("text").cast(pa.string()).to_pylist()]
+                rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in spans] for spans in _spans_of(shared.value, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(struct))], names=[*part.schema.names, name])
 
     kind = docs.sparkSession.createDataFrame([], "s array<struct<kind:string,start:bigint,end:bigint,base:boolean>>").schema[0].dataType
@@ -419,15 +519,17 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def masked(docs: DataFrame, network: Network | None = None) -> DataFrame:
-    """docs with every span of text masked."""
-    name = "__pii_spans"
-    found = find_spans(docs, name, network)
+    """docs with every span of text masked; a null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(network or fit(docs))
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.forget()
         for batch in batches:
-            at = batch.schema.names.index("text")
-            texts = [t if t is None or not s else mask(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(name).to_pylist())]
-            columns = [pa.array(texts, batch.column(at).type) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns) if n != name]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != name])
-
-    return found.mapInArrow(hide, docs.schema)
+            for part in textscan.slices(batch, "text", 2_000_000):
+                at = part.schema.get_field_index("text")
+                texts = part.column(at).to_pylist()
+                found = _spans_of(shared.value, [t or "" for t in texts])
+                shown = [t if t is None or not spans else mask(t, [(a, b, kind) for kind, a, b, _ in spans]) for t, spans in zip(texts, found)]
+                yield part.set_column(at, part.schema.field(at), pa.array(shown, part.column(at).type))
+
+    return docs.mapInArrow(hide, docs.schema)
