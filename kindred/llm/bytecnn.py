@@ -8,11 +8,12 @@ probability.
 For scoring, a filter's response is the sum of WIDTH / 2 table entries, one for each pair of bytes: the tables hold the
 products of byte embeddings and filters, so a whole text needs additions and maxima alone.
 
-Training reads at most TRAIN_DOCS labelled documents (see ``training.labelled_sample``) and some chunks of each, drawn
-anew each time. Labels, lang, source and doc_id never enter a score.
+Training reads the whole texts of at most TRAIN_DOCS labelled documents (see ``training.labelled_sample``); each step
+draws some chunks of each anew, from anywhere in it. Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null and empty texts are one chunk of zero bytes; without labels of both kinds every score is the
-share of label 1 (0 without any); rows that repeat get equal scores. Columns other than doc_id and text are ignored.
+share of label 1 (0 without any); rows that repeat get equal scores; an empty table gives no rows. Columns other than
+doc_id and text are kept by ``quality_scores`` and ignored by the rest, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def train(sample: list[tuple[str, int]], steps: int = 600, batch_docs: int = 32,
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, limit: int = TRAIN_DOCS) -> DataFrame:
-    """docs and a new column quality_score (0 to 1)."""
+    """docs and a column quality_score (0 to 1), which replaces one of that name."""
     learn = remainder(HELD_OUT_MODULUS) != HELD_OUT if learn is None else learn
     return score_texts(docs, fit(docs, labels, "quality", learn, limit, train), "quality_score")
 

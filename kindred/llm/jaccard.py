@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from kindred.llm import textscan
+from kindred.llm import remembered, textscan
 from kindred.llm.components import connected_components
 from kindred.storage import materialize, release
 
@@ -89,6 +90,7 @@ def signatures(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     """doc_id, n_shingles and node (hash of the set) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.forget()
         for batch in batches:
             for part in textscan.slices(batch, "text"):
                 sets = _sets(part, config.width)
@@ -404,9 +406,11 @@ def linked_nodes(found: DataFrame, config: JaccardConfig) -> DataFrame:
     return edges
 
 
-def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    signed = materialize(signatures(docs, config), "signatures")
+def _labelled(signed: DataFrame, docs: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, n, first_id: the smallest doc_id) and labels (node, label) of those that are linked with others.
+
+    signed: doc_id, n_shingles and node of every row of docs.
+    """
     nodes = materialize(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id")), "nodes")
     n_tokens = nodes.agg(F.sum("n")).first()[0] or 0
     texts = materialize(node_texts(docs, config), "texts")
@@ -417,8 +421,51 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     release(found)
     labels = connected_components(edges)
     release(edges)
+    return nodes, labels
+
+
+def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    signed = materialize(signatures(docs, config), "signatures")
+    nodes, labels = _labelled(signed, docs, config)
     named = nodes.join(labels, "node").select("node", "first_id", "label")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(smallest, "label").select("node", "component_id").union(nodes.join(labels, "node", "left_anti").select("node", "first_id")), "named")
     release(nodes, labels)
     return signed.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """One row of each component, and every row with an empty set.
+
+    It is the row with the smallest doc_id (missing ones last); among equal ids the smallest hash of a text decides, then
+    that of its set, then the other columns, written as JSON. Rows are merged by set within tasks before a shuffle.
+    """
+    signed = materialize(signatures(docs, config), "signatures")
+    nodes, labels = _labelled(signed, docs, config)
+    release(signed)
+    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node"))
+    named = nodes.join(labels, "node")
+    others = named.join(named.groupBy("label").agg(best.alias("best")), "label").filter(F.col("node") != F.col("best.node")).select("node")
+    others = materialize(others, "others")
+    release(nodes, labels)
+
+    node = "set_hash"
+    while node.lower() in {c.lower() for c in docs.columns}:
+        node += "_"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.forget()
+        for batch in batches:
+            for part in textscan.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, _nodes(_sets(part, config.width))], names=[*part.schema.names, node])
+
+    rows = docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(node, LongType())]))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    id_ = F.col("doc_id").cast("long")
+    order = F.struct(id_.isNull(), id_, F.xxhash64(F.col("text").cast("string")), F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    # rows without a set are groups of their own
+    alone = F.when(F.col(node) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    kept = rows.select(F.col(node).alias("node"), alone.alias("alone"), F.struct(*docs.columns).alias("row"), order.alias("order"))
+    kept = kept.groupBy("node", "alone").agg(F.min_by("row", "order").alias("row"))
+    return kept.join(others, "node", "left_anti").select("row.*")

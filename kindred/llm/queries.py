@@ -23,7 +23,7 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mixture(_table(spark, sf_dir, "documents"), mixing.PRODUCTION).drop("text_hash")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_vafile": vafile.oracle_sql(20, 20),
     "op2_divergence": divergence.oracle_sql(),
+    "op3_mixing": mixing.oracle_sql(),
     "op5_warc": warc.oracle_sql(),
 }

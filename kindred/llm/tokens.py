@@ -23,7 +23,8 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]
 PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ɏ]*\Z")
 UNSAFE_GAP = re.compile(r"\s \s")
 END_ID = 0
-MEMORY = 500_000  # parts held by one worker process; about 200 bytes each
+MEMORY = 150_000_000  # bytes that one worker process remembers, about: parts and their ids with what Python adds
+_EACH = 180  # bytes of an entry besides its text and ids
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -67,10 +68,12 @@ class Codec:
         self._letters = _byte_letters()
         self._parts: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._held = 0
 
     def forget(self) -> None:
         self._parts.clear()
         self._pieces.clear()
+        self._held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -81,6 +84,7 @@ class Codec:
             letters = self._letters
             spelled = "".join([letters[b] for b in piece.encode()])
             found = self._pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+            self._held += _EACH + len(piece) + len(found)
         return found
 
     def _learn(self, parts: list[str]) -> None:
@@ -92,17 +96,18 @@ class Codec:
             else:
                 hard.append(part)
         self._parts.update(zip(hard, self._whole(hard)))
+        self._held += sum(_EACH + len(part) + len(self._parts[part]) for part in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without special or end tokens added."""
         if not self.by_parts:
             return self._whole(texts)
         remembered.claim(self)
-        if len(self._parts) > MEMORY or len(self._pieces) > MEMORY:
-            self.forget()
         out: list[bytes | None] = [None] * len(texts)
         hard = []
         for i, text in enumerate(texts):
+            if self._held > MEMORY:
+                self.forget()
             if UNSAFE_GAP.search(text):
                 hard.append(i)
                 continue

@@ -6,12 +6,13 @@ windows of WINDOW words that overlap by WINDOW - STRIDE; attention weights the s
 logit comes from their weighted sum. Windows cover the whole text; a document's score is its highest window's.
 Gates use x / (1 + |x|) in place of the hyperbolic tangent, which costs a fraction and trains alike.
 
-Training reads a sample of at most TRAIN_DOCS labelled documents, as many of each label as possible, and the output
-bias is then moved to the share of label 1 among all labelled documents. The loss pools a document's windows by a soft maximum. Labels, lang, source and doc_id never enter a score.
+Training reads the whole texts of at most TRAIN_DOCS labelled documents, as many of each label as possible, draws windows
+from anywhere in them, and the output bias is then moved to the share of label 1 among all labelled documents. The loss pools a document's windows by a soft maximum. Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null, empty and blank texts are one window without words, scored by the output bias alone; without
 labels of both kinds every score is the share of label 1 among those there are (0 without any); rows that repeat
-get equal scores. Columns other than doc_id and text are ignored.
+get equal scores; an empty table gives no rows. Columns other than doc_id and text are kept by ``score_texts`` and
+ignored by the rest, whatever their names; one with the name that is asked for the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kindred.llm import textscan
+from kindred.llm import remembered, textscan
 from kindred.llm.training import Adam, labelled_sample, prior_shift, remainder, softsign
 
 WINDOW, STRIDE = 64, 48
@@ -247,10 +248,10 @@ def train(sample: list[tuple[str, int]], steps: int = 500, batch_docs: int = 32,
     return net.prepare()
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, limit: int = TRAIN_DOCS) -> DataFrame:
-    """docs with the columns doc_id, text and what else there is, and a new column toxicity_score (0 to 1)."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, limit: int = TRAIN_DOCS, name: str = "toxicity_score") -> DataFrame:
+    """docs and a column (0 to 1), which replaces one of that name."""
     learn = remainder(HELD_OUT_MODULUS) != HELD_OUT if learn is None else learn
-    return score_texts(docs, fit(docs, labels, "toxic", learn, limit, train), "toxicity_score")
+    return score_texts(docs, fit(docs, labels, "toxic", learn, limit, train), name)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int, trainer):
@@ -264,12 +265,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int, train
 
 
 def score_texts(docs: DataFrame, model, name: str) -> DataFrame:
-    """docs and a new column: the model's score of each whole text."""
+    """docs and a column, which replaces one of that name: the model's score of each whole text."""
+    docs = docs.drop(name)
     if isinstance(model, float):
         return docs.withColumn(name, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.forget()
         for batch in batches:
             for part in textscan.slices(batch, "text", 1_000_000):
                 scores = shared.value.scores(*textscan.text_bytes(part.column("text")))

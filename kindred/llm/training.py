@@ -1,4 +1,4 @@
-"""Labelled samples of a stated size, and the optimiser that the models share."""
+"""Labelled samples of a stated number of documents, and the optimiser that the models share."""
 
 from __future__ import annotations
 
@@ -6,16 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of one text that training reads at most, from a place given by the hash of its id. Scoring reads all.
-TRAINING_CHARS = 24_000
-
-
 def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> tuple[list[tuple[str, int]], float]:
-    """Texts and labels of at most limit labelled documents for which learn holds, as many of each label as there are
+    """Whole texts and labels of at most limit labelled documents for which learn holds, as many of each label as there are
     up to limit / 2: those with the lowest hashes of their ids, in that order, and the share of label 1 among all of them. Equal ids count once."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
     known = known.select(F.col("doc_id").cast("long"), (F.col(label) > 0).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -23,9 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     known = known.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
     chosen = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(limit // 2) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # limit rows at most
-    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("text") - (TRAINING_CHARS - 1), F.lit(1)))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    texts = texts.select("h", "doc_id", "y", F.substring("text", start.cast("int"), F.lit(TRAINING_CHARS)).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
     rows = texts.groupBy("h", "doc_id", "y").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))], float(share or 0.0)
 
