@@ -138,9 +138,11 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str | None = None, segm
         if held:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "shard int, segment int, before long, n_ids long, payload binary").write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # equal ids, equal rows too, go over as many partitions as it takes
+    order = ["doc_id", "h", "u"]
+    ordered = rows.withColumn("h", F.xxhash64("text")).withColumn("u", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(encode, "shard int, segment int, before long, n_ids long, payload binary").write.parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,7 @@ from kindred.llm.training import Adam, softsign
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + len(KINDS)
 WINDOW, STRIDE = 448, 384
-BATCH = 1024
+BATCH = 512
 HIDDEN = 8
 TRAIN_DOCS = 400
 ASCII, HASHED = 128, 64

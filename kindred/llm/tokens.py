@@ -21,6 +21,8 @@ from kindred.llm import remembered
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+")
 #: Characters whose class (letter, digit, other, white space) the pattern above and the library see alike.
 PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ɏ]*\Z")
+#: A word, perhaps after a space, and the signs after it: two pieces of the pattern.
+WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z")
 UNSAFE_GAP = re.compile(r"\s \s")
 END_ID = 0
 MEMORY = 150_000_000  # bytes that one worker process remembers, about: parts and their ids with what Python adds
@@ -64,16 +66,24 @@ class Codec:
             and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
             and not any(" " in x for x in self.special)
         )
+        # a special token of letters, or of signs, alone could hide within a word or the signs after it
+        self.worded = not any(re.fullmatch(r"[^\W\d_]+|[^\w\s]+", x) for x in self.special)
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._letters = _byte_letters()
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line[0] if len(line) == 1 else -1
+        self.forget()
+
+    def forget(self) -> None:
         self._parts: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
-        self._held = 0
+        self._age()
+        self._age()
 
-    def forget(self) -> None:
-        self._parts.clear()
-        self._pieces.clear()
-        self._held = 0
+    def _age(self) -> None:
+        """What has been of use since the last time becomes old, and what was old goes: common parts stay."""
+        self._old_parts, self._old_pieces = self._parts, self._pieces
+        self._parts, self._pieces, self._held = {}, {}, 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -81,22 +91,54 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
-            letters = self._letters
-            spelled = "".join([letters[b] for b in piece.encode()])
-            found = self._pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+            found = self._old_pieces.get(piece)
+            if found is None:
+                letters = self._letters
+                spelled = "".join([letters[b] for b in piece.encode()])
+                found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+            self._pieces[piece] = found
             self._held += _EACH + len(piece) + len(found)
         return found
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts (each with its leading space, if any) that are not in memory."""
+    def _plain(self, part: str) -> bytes | None:
+        """Ids of a part by the pieces of the pattern; None if only the library can tell."""
+        if self.worded and (word := WORD.match(part)):
+            return self._piece(word[1]) + self._piece(word[2]) if word[2] else self._piece(word[1])
+        if PLAIN.match(part) and not any(x in part for x in self.special):
+            return b"".join(map(self._piece, PIECES.findall(part)))
+        return None
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each a space and letters, read as one text: ends of lines between them stay pieces of their own.
+        None if the ends of lines do not tell them apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(pieces) - 1:
+            return []
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words, each with a space before it, that are not in memory."""
+        if self.worded:
+            fresh = {m[1] for x in words if x not in self._old_parts and (m := WORD.match(" " + x))}
+            fresh = [x for x in fresh if x not in self._pieces and x not in self._old_pieces]
+            for piece, ids in zip(fresh, self._together(fresh) if fresh else ()):
+                self._pieces[piece] = ids
+                self._held += _EACH + len(piece) + len(ids)
         hard = []
-        for part in parts:
-            if PLAIN.match(part) and not any(x in part for x in self.special):
-                self._parts[part] = b"".join(map(self._piece, PIECES.findall(part)))
+        for word in words:
+            ids = self._old_parts.get(word)
+            if ids is None:
+                ids = self._plain(" " + word)
+            if ids is None:
+                hard.append(word)
             else:
-                hard.append(part)
-        self._parts.update(zip(hard, self._whole(hard)))
-        self._held += sum(_EACH + len(part) + len(self._parts[part]) for part in parts)
+                self._parts[word] = ids
+                self._held += _EACH + len(word) + len(ids)
+        for word, ids in zip(hard, self._whole([" " + x for x in hard])):
+            self._parts[word] = ids
+            self._held += _EACH + len(word) + len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without special or end tokens added."""
@@ -106,18 +148,24 @@ class Codec:
         out: list[bytes | None] = [None] * len(texts)
         hard = []
         for i, text in enumerate(texts):
-            if self._held > MEMORY:
-                self.forget()
+            if self._held > MEMORY // 2:  # as much again may be old
+                self._age()
             if UNSAFE_GAP.search(text):
                 hard.append(i)
                 continue
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
+            first, *words = text.split(" ")
+            known = self._parts
+            ids = list(map(known.get, words))
             try:
-                out[i] = b"".join([self._parts[x] for x in parts])
-            except KeyError:
-                self._learn([x for x in dict.fromkeys(parts) if x not in self._parts])
-                out[i] = b"".join([self._parts[x] for x in parts])
+                rest = b"".join(ids)
+            except TypeError:  # some are not known
+                missing = [j for j, x in enumerate(ids) if x is None]
+                self._learn({words[j] for j in missing})
+                for j in missing:
+                    ids[j] = known[words[j]]
+                rest = b"".join(ids)
+            begun = self._plain(first)
+            out[i] = (self._whole([first])[0] if begun is None else begun) + rest
         for i, ids in zip(hard, self._whole([texts[i] for i in hard])):
             out[i] = ids
         return out
