@@ -1,20 +1,25 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Each dimension's range over all vectors is cut into 2**bits cells of equal whole width. A vector's approximation is
-its cell numbers, one byte each. A scan of approximations gives lower and upper bounds of every score; exact vectors
-are then read in the order of their bounds, a few at a time, until no bound left can beat the kth score read.
+Vectors of a length lie in blocks by a hash of their id. Within a block each dimension is cut at quantiles into up to
+2**BITS cells, and a vector's approximation is its cell numbers, BITS bits each, packed. A cell's least and greatest
+value bound what a query's component can give there, so sums over a table for each query bound every score.
 
-Vectors lie in blocks by a hash of their id, queries too; every query block meets every vector block in a task of
-its own, so memory is bounded by the block sizes and nothing grows but the number of tasks. Each task keeps k rows
-for each query, and a window with a group limit merges them.
+1. Approximations alone are scanned: the k greatest lower bounds of each block and query lead to a lower bound of the
+   kth score over all blocks.
+2. Blocks are scanned again with that bound. Vectors whose upper bound lies below it are done with. Exact vectors of
+   the others are read in the order of their bounds, a few at a time, until no bound left can beat the kth score read.
+
+A block is one row of a table, with its exact vectors beside its approximations: these never travel to queries.
+Queries go to each block of their length, in batches, so memory is bounded by a block and a batch. Each block returns
+at most k rows for a query, none below the bound, and a window with a group limit merges them.
 
 Vectors with a component too large for 64-bit products (wide ones) have no cells: within the same tasks they are
 compared with every vector in whole numbers of any size, and scores are ranked by their exact values.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; a score beyond 64 bits is
-shown as the nearest number of 64 bits; vectors are compared with those of equal length only; rows with equal ids are
-candidates of their own, but a query's own id is none, and equal query ids are one query; equal scores go to the
-smaller id; an empty table gives no rows. Columns other than the id and the vector are ignored.
+Defined cases: vectors that are null or hold null or non-finite components take no part; empty vectors score 0 with each
+other; a score beyond 64 bits is shown as the nearest number of 64 bits; vectors are compared with those of equal length
+only; rows with equal ids are candidates of their own, but a query's own id is none, and equal query ids are one query;
+equal scores go to the smaller id; an empty table gives no rows. Columns other than the id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.storage import materialize
+from kindred.llm.bitpack import pack, unpack
+from kindred.storage import materialize, release
 
-BITS = 6
+BITS = 4
 VECTOR_BLOCK = 16384
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 256
 READ_AT_ONCE = 128
 
 
@@ -41,9 +47,9 @@ def whole_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale:
     raw = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     usable = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), raw.alias("raw"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & (F.size("raw") > 0)).filter(usable)
-    # products of vectors within this and of cells' corners (up to three times as far) sum up to less than 2**62
-    most = F.sqrt(F.lit(2.0**60) / F.size("raw")) / 2
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("raw").isNotNull()).filter(usable)
+    # products of vectors within this sum up to less than 2**60
+    most = F.sqrt(F.lit(2.0**60) / F.greatest(F.size("raw"), F.lit(1))) / 2
     narrow = F.forall("raw", lambda x: F.abs(x * float(scale)) < most)
     return rows.select("vec_id", F.when(narrow, F.transform("raw", lambda x: F.floor(x * float(scale)))).alias("v"), F.when(~narrow, F.col("raw")).alias("raw"))
 
@@ -63,17 +69,39 @@ def rank_key(score: int) -> bytes:
 
 
 class Cells:
-    """The cells of every dimension; at most 2**bits <= 256 of them."""
-
-    def __init__(self, low: np.ndarray, high: np.ndarray, bits: int):
-        self.low = low
-        self.width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-
-    def approximate(self, vectors: np.ndarray) -> np.ndarray:
-        return ((vectors - self.low) // self.width).astype(np.uint8)
-
-    def lower_corner(self, codes: np.ndarray) -> np.ndarray:
-        return self.low + codes.astype(np.int64) * self.width
+    """The cells of every dimension of a block: cut at quantiles, each from its least to its greatest value there."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.high = low, high  # (dimensions, cells)
+
+    @classmethod
+    def fit(cls, vectors: np.ndarray, bits: int) -> tuple["Cells", np.ndarray]:
+        """The cells of vectors (n, dimensions), and the codes of the vectors."""
+        n, dimensions = vectors.shape
+        cells = 1 << bits
+        low, high = np.zeros((dimensions, cells), np.int64), np.zeros((dimensions, cells), np.int64)
+        codes = np.zeros(vectors.shape, np.uint8)
+        for d in range(dimensions):
+            ranked = np.sort(vectors[:, d])
+            edges = np.unique(ranked[np.arange(1, cells) * n // cells])
+            codes[:, d] = np.searchsorted(edges, vectors[:, d], side="right")
+            at = np.searchsorted(ranked, edges)
+            first, last = np.append(0, at), np.append(at, n) - 1
+            there = first <= last
+            low[d, : len(first)][there], high[d, : len(first)][there] = ranked[first[there]], ranked[last[there]]
+        return cls(low, high), codes
+
+    def _sums(self, codes: np.ndarray, queries: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        each = np.arange(codes.shape[1])
+        ends = np.concatenate([first[each, codes], second[each, codes]], axis=1)
+        return _product(np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1), ends)
+
+    def lower(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Lower bounds of the scores of every query with every vector (queries, n)."""
+        return self._sums(codes, queries, self.low, self.high)
+
+    def upper(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        return self._sums(codes, queries, self.high, self.low)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,14 +113,24 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.T.astype(kind)
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, exact: np.ndarray, cells: Cells, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its id, and ids and scores of the k best of the block (ties to the smaller id)."""
-    corner = _product(queries, cells.lower_corner(codes))
-    # a score lies between corner + below and corner + above, whatever the place within the cells
-    above = np.maximum(queries, 0) @ (cells.width - 1)
+def least_of_best(lower: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest lower bounds of each query, those of its own id left out (fewer if there are fewer)."""
+    none = -np.inf if lower.dtype.kind == "f" else np.iinfo(np.int64).min
+    lower = np.where(own, none, lower) if own.any() else lower
+    n = lower.shape[1]
+    return np.partition(lower, n - k, axis=1)[:, n - k :] if n > k else lower
+
+
+def search_block(
+    query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, codes: np.ndarray, exact: np.ndarray, cells: Cells, k: int, reads: list[int] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its id, and ids and scores of the k best of the block (ties to the smaller id), none below its floor.
+
+    reads gets the number of exact vectors read for each query."""
+    upper = cells.upper(codes, queries)
     n = len(ids)
     for q, query_id in enumerate(query_ids.tolist()):
-        bounds = corner[q]
+        bounds = upper[q]
         span = min(n, 4 * READ_AT_ONCE)
         ranked = _top(bounds, span)
         best_ids, best_scores, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -100,16 +138,21 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, co
             if read >= len(ranked):
                 span = min(n, 4 * span)
                 ranked = _top(bounds, span)
-            if len(best_scores) >= k and bounds[ranked[read]] + above[q] < best_scores[k - 1]:
+            able = bounds[ranked[read]]
+            if able < floors[q] or len(best_scores) >= k and able < best_scores[k - 1]:
                 break
             some = ranked[read : read + READ_AT_ONCE]
+            some = some[bounds[some] >= floors[q]]
             read += len(some)
             some = some[ids[some] != query_id]
             all_ids = np.concatenate([best_ids, ids[some]])
             all_scores = np.concatenate([best_scores, exact[some] @ queries[q]])
             keep = np.lexsort((all_ids, -all_scores))[:k]
             best_ids, best_scores = all_ids[keep], all_scores[keep]
-        yield query_id, best_ids, best_scores
+        if reads is not None:
+            reads.append(read)
+        there = best_scores >= floors[q]
+        yield query_id, best_ids[there], best_scores[there]
 
 
 def _top(bounds: np.ndarray, n: int) -> np.ndarray:
@@ -137,82 +180,144 @@ def _wide_matrix(column: pa.Array) -> np.ndarray:
     return np.array([[int(x) for x in text.split()] for text in column.to_pylist()], object)
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def _blocks(whole: DataFrame, bits: int) -> DataFrame:
+    """size, wide, block, ids, low, high, codes, exact: one row for each block of vectors."""
+    n = max(1, whole.groupBy("size", "wide").count().agg(F.max("count")).first()[0] or 1)
+    n_blocks = -(-n // VECTOR_BLOCK)
+    kinds = "size long, wide boolean, block int, ids binary, low binary, high binary, codes binary, exact binary"
+    schema = pa.schema([("size", pa.int64()), ("wide", pa.bool_()), ("block", pa.int32()), *((c, pa.binary()) for c in ("ids", "low", "high", "codes", "exact"))])
 
+    def build(rows: pa.Table) -> pa.Table:
+        size, wide, block = (rows.column(c)[0].as_py() for c in ("size", "wide", "block"))
+        ids, told = np.asarray(rows.column("vec_id")).astype("<i8").tobytes(), rows.column("exact").to_pylist()
+        if wide:
+            parts = [b"", b"", b"", b"\n".join(told)]
+        else:
+            exact = (np.frombuffer(b"".join(told), "<i8") if size else np.zeros(0, np.int64)).reshape(len(told), size)
+            cells, codes = Cells.fit(exact, bits)
+            parts = [cells.low.tobytes(), cells.high.tobytes(), pack(codes.reshape(-1).astype(np.uint32), bits), exact.tobytes()]
+        return pa.Table.from_pydict(dict(zip(schema.names, [[x] for x in (size, wide, block, ids, *parts)])), schema=schema)
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64, bits: int = BITS) -> DataFrame:
-    """query_id, rank, vec_id, score for each row where is_query (a condition on vec_id) holds."""
-    spark = vectors.sparkSession
-    whole = whole_vectors(vectors, id_column, vector_column, scale)
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)).cast("int"))
+    return dealt.groupBy("size", "wide", "block").applyInArrow(build, kinds)
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("v")
-            sizes = np.asarray(pa.compute.list_value_length(column))
-            values = np.asarray(column.flatten())
-            at = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes).tolist():
-                part = np.stack([values[a : a + size] for a in at[sizes == size]])
-                yield pa.RecordBatch.from_pydict({"size": [size] * size, "i": list(range(size)), "low": part.min(0), "high": part.max(0), "n": [len(part)] * size})
-
-    spans = whole.filter("v IS NOT NULL").select("v").mapInArrow(ranges, "size long, i long, low long, high long, n long")
-    # one row for each dimension of each vector length
-    found = spans.groupBy("size", "i").agg(F.min("low"), F.max("high"), F.sum("n")).orderBy("size", "i").collect()
-    by_size = {s: [r for r in found if r[0] == s] for s in {r[0] for r in found}}
-    cells = {s: Cells(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), bits) for s, rows in by_size.items()}
+
+def _encoded(whole: DataFrame, scale: int) -> DataFrame:
+    """vec_id, size, wide, exact: whole numbers as bytes, or as text where they may be of any size."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, exact, sizes, wide = [], [], [], []
+            exact, sizes, wide = [], [], []
             for v, raw in zip(batch.column("v"), batch.column("raw")):
                 wide.append(not v.is_valid)
                 if wide[-1]:
                     sizes.append(len(raw))
-                    codes.append(b"")
                     exact.append(" ".join(str(whole_number(x, scale)) for x in raw.values.to_pylist()).encode())
-                    continue
-                x = np.asarray(v.values, np.int64)
-                codes.append(cells[len(x)].approximate(x).tobytes())
-                exact.append(x.astype("<i8").tobytes())
-                sizes.append(len(x))
-            columns = [batch.column("vec_id"), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(codes, pa.binary()), pa.array(exact, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "size", "wide", "codes", "exact"])
-
-    stored = materialize(whole.mapInArrow(encode, "vec_id long, size long, wide boolean, codes binary, exact binary"), "vafile")
-    # at most one row for each vector length
-    total = max([1, *(r["count"] for r in stored.groupBy("size").count().collect())])
-    n_blocks = -(-total // VECTOR_BLOCK)
+                else:
+                    x = np.asarray(v.values, np.int64)
+                    sizes.append(len(x))
+                    exact.append(x.astype("<i8").tobytes())
+            columns = [batch.column("vec_id"), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(exact, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "size", "wide", "exact"])
+
+    return whole.mapInArrow(encode, "vec_id long, size long, wide boolean, exact binary")
+
+
+class _Held:
+    """A block as a task holds it."""
+
+    def __init__(self, row: dict, bits: int):
+        self.size, self.wide = row["size"], row["wide"]
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        n = len(self.ids)
+        if self.wide:
+            self.exact = None if row["exact"] is None else np.array([[int(x) for x in line.split()] for line in row["exact"].split(b"\n")], object).reshape(n, self.size)
+        else:
+            self.cells = Cells(*(np.frombuffer(row[c], np.int64).reshape(self.size, -1) if self.size else np.zeros((0, 1), np.int64) for c in ("low", "high")))
+            self.codes = (unpack(row["codes"], n * self.size, bits).astype(np.int64) if self.size else np.zeros(0, np.int64)).reshape(n, self.size)
+            self.exact = None if row["exact"] is None else (np.frombuffer(row["exact"], "<i8") if row["exact"] else np.zeros(0, np.int64)).reshape(n, self.size)
+
+
+def _meetings(blocks: DataFrame, asked: DataFrame, columns: list[str], work, kinds: str, bits: int) -> DataFrame:
+    """work(block, queries) for every block and batches of the queries of its length: blocks come first, queries after."""
+    names = ["ids", "low", "high", "codes", "exact"]
+    shown = [F.col(c) if c in columns else F.lit(None).cast("binary").alias(c) for c in names]
+    there = blocks.select("size", "wide", "block", F.lit(0).alias("turn"), *shown, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("boolean").alias("query_wide"),
+                          F.lit(None).cast("binary").alias("query"), F.lit(None).cast("long").alias("floor"))
+    # a row for each query and block of its length: the query set against all rows, in blocks
+    sent = asked.join(blocks.select("size", "wide", "block"), "size")
+    sent = sent.select("size", "wide", "block", F.lit(1).alias("turn"), *[F.lit(None).cast("binary").alias(c) for c in names], "query_id", "query_wide", "query", "floor")
+    keys = ["size", "wide", "block"]
+    rows = there.union(sent).repartition(*keys).sortWithinPartitions(*keys, "turn", "query_id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, queries = None, []
+        for batch in batches:
+            turns = np.asarray(batch.column("turn"))
+            cuts = [0, *np.flatnonzero(turns == 0).tolist(), len(turns)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and turns[a] == 0:
+                    held = _Held(batch.slice(a, 1).to_pylist()[0], bits)
+                    a += 1
+                for i in range(a, b, QUERY_BLOCK):
+                    queries = batch.slice(i, min(QUERY_BLOCK, b - i))
+                    yield from work(held, queries)
+
+    return rows.mapInArrow(meet, kinds)
+
+
+def _narrow(queries: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and floors of the queries that are not wide."""
+    some = queries.filter(pa.compute.invert(queries.column("query_wide")))
+    floors = np.asarray(pa.compute.fill_null(some.column("floor"), np.iinfo(np.int64).min))
+    told = b"".join(some.column("query").to_pylist())
+    return np.asarray(some.column("query_id")), (np.frombuffer(told, "<i8") if told else np.zeros(0, np.int64)).reshape(some.num_rows, size), floors
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64, bits: int = BITS) -> DataFrame:
+    """query_id, rank, vec_id, score for each row where is_query (a condition on vec_id) holds."""
+    stored = materialize(_encoded(whole_vectors(vectors, id_column, vector_column, scale), scale), "vectors")
+    blocks = materialize(_blocks(stored, bits), "vafile")
     asked = stored.filter(is_query).dropDuplicates(["vec_id"])
-    n_asked = max(1, asked.count())
-    n_query_blocks = -(-n_asked // QUERY_BLOCK)
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.col("vec_id").alias("query_id"), "size", "wide", "exact", block(n_query_blocks, 1).alias("qb")).withColumn("db", each(n_blocks))
-    right = stored.select("vec_id", "size", "wide", "codes", "exact", block(n_blocks, 2).alias("db")).withColumn("qb", each(n_query_blocks))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())])
-
-    def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
-        if not asked.num_rows or not there.num_rows:
-            return out.empty_table()
-        size = asked.column("size")[0].as_py()
+    asked = materialize(asked.select(F.col("vec_id").alias("query_id"), "size", F.col("wide").alias("query_wide"), F.col("exact").alias("query")), "queries")
+    release(stored)
+
+    def approximate(held: _Held, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, asked, _ = _narrow(queries, held.size)
+        if held.wide or not len(ids):
+            return
+        best = least_of_best(held.cells.lower(held.codes, asked), ids[:, None] == held.ids[None, :], k)
+        rows, flat = np.repeat(np.arange(len(ids)), best.shape[1]), best.reshape(-1)
+        able = np.isfinite(flat) if flat.dtype.kind == "f" else flat > np.iinfo(np.int64).min
+        rows, flat = rows[able], flat[able]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(flat.astype(np.int64))], names=["query_id", "lower"])
+
+    no_floor = asked.withColumn("floor", F.lit(None).cast("long"))
+    lowers = _meetings(blocks, no_floor, ["ids", "low", "high", "codes"], approximate, "query_id long, lower long", bits)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("lower").desc()))
+    floors = lowers.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("lower").alias("floor"))
+    floors = floors.filter(F.col("n") == k).select("query_id", "floor")
+    floored = materialize(asked.join(floors, "query_id", "left"), "floors")
+
+    def exact(held: _Held, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         got = []  # parts of the answer: query ids, ids and scores; scores in lists may be of any size
-        narrow = [t.filter(pa.compute.invert(t.column("wide"))) for t in (asked, there)]
-        wide = [t.filter(t.column("wide")) for t in (asked, there)]
-        if narrow[0].num_rows and narrow[1].num_rows:
-            queries, exact, codes = _matrix(narrow[0].column("exact"), "<i8"), _matrix(narrow[1].column("exact"), "<i8"), _matrix(narrow[1].column("codes"), "u1")
-            got += search_block(np.asarray(narrow[0].column("query_id")), queries, np.asarray(narrow[1].column("vec_id")), codes, exact, cells[size], k)
-        for a, b in ((narrow, wide), (wide, narrow), (wide, wide)):
-            if a[0].num_rows and b[1].num_rows:
-                read = [_wide_matrix(t.column("exact")) if side is wide else _matrix(t.column("exact"), "<i8") for t, side in ((a[0], a), (b[1], b))]
-                got += compare_all(a[0].column("query_id").to_pylist(), read[0], np.asarray(b[1].column("vec_id")), read[1], k)
-        ids = np.concatenate([np.asarray(g[1], np.int64) for g in got])
+        ids, vectors, floors = _narrow(queries, held.size)
+        if not held.wide and len(ids):
+            got += search_block(ids, vectors, floors, held.ids, held.codes, held.exact, held.cells, k)
+        elif held.wide and len(ids):
+            got += compare_all(ids.tolist(), vectors, held.ids, held.exact, k)
+        wide = queries.filter(queries.column("query_wide"))
+        if wide.num_rows:
+            got += compare_all(wide.column("query_id").to_pylist(), _wide_matrix(wide.column("query")), held.ids, held.exact, k)
+        if not got:
+            return
+        found = np.concatenate([np.asarray(g[1], np.int64) for g in got])
         within = [np.asarray(g[2]) if isinstance(g[2], np.ndarray) else np.array([min(max(s, -(2**63)), 2**63 - 1) for s in g[2]], np.int64) for g in got]
         ranked = [x for g in got for x in ([b"\x01"] * len(g[2]) if isinstance(g[2], np.ndarray) else map(rank_key, g[2]))]
-        return pa.Table.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), pa.array(ids), pa.array(np.concatenate(within), pa.int64()), pa.array(ranked, pa.binary())], schema=out)
+        columns = [pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), pa.array(found), pa.array(np.concatenate(within), pa.int64()), pa.array(ranked, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "key"])
 
-    keys = ["size", "qb", "db"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long, key binary")
+    best = _meetings(blocks, floored, ["ids", "low", "high", "codes", "exact"], exact, "query_id long, vec_id long, score long, key binary", bits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -222,7 +327,7 @@ def oracle_sql(every: int, k: int, scale: int = 64) -> str:
     return f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i]))::BIGINT AS score
+s AS (SELECT q.vec_id AS query_id, d.vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])), 0)::BIGINT AS score
     FROM v q, v d WHERE q.vec_id % {every} = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= {k}"""

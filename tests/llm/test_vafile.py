@@ -12,7 +12,7 @@ def brute(rows, every, k, scale=64):
     usable = {}
     whole = []
     for vec_id, v in rows:
-        if vec_id is None or v is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         whole.append((vec_id, [math.floor(float(np.float32(x)) * scale) for x in v]))
     for vec_id, v in whole:
@@ -30,7 +30,7 @@ def test_against_brute_force(spark, bits):
     rng = np.random.default_rng(bits)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(40)]  # ties
-    rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7), (404, []), (None, [0.1] * 8)]
+    rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7), (404, []), (410, []), (None, [0.1] * 8)]
     rows += [(500, [0.5, 0.25, 1.0]), (510, [1.0, 1.0, -1.0]), (7, rows[7][1]), (7, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("size", F.lit("x")).withColumn("score", F.lit("x"))
     got = sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 10 == 0, 20, bits=bits).collect())
@@ -68,13 +68,40 @@ def test_empty(spark):
     assert vafile.top_k(df, F.col("vec_id") % 10 == 0, 20).count() == 0
 
 
-def test_bounds_save_reads():
+def whole(path, spark):
+    rows = [r["embedding"] for r in spark.read.parquet(path).orderBy("vec_id").select("embedding").collect()]
+    return np.array([[math.floor(64 * float(np.float32(x))) for x in v] for v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)], np.int64)
+
+
+def test_bounds_save_reads(spark):
+    """Cells wider than one value, bounds that hold, and few exact vectors read, on the table of sf0.1."""
+    v = whole(f"{SF.replace('sf0.001', 'sf0.1')}/embeddings.parquet", spark)
+    cells, codes = vafile.Cells.fit(v, vafile.BITS)
+    ends = [x[np.arange(64), codes] for x in (cells.low, cells.high)]
+    assert (ends[0] <= v).all() and (v <= ends[1]).all() and codes.max() < 1 << vafile.BITS
+    assert (cells.high - cells.low + 1).mean() > 2 and len(np.unique(v)) > 1 << vafile.BITS
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), 20)
+    exact = v[asked] @ v.T
+    lower, upper = cells.lower(codes, v[asked]), cells.upper(codes, v[asked])
+    assert (lower <= exact).all() and (exact <= upper).all()
+    reads = []
+    floors = vafile.least_of_best(lower, asked[:, None] == ids[None, :], 20).min(1).astype(np.int64)
+    found = {q: (a, b) for q, a, b in vafile.search_block(asked, v[asked], floors, ids, codes, v, cells, 20, reads)}
+    for j, q in enumerate(asked.tolist()):
+        scores = sorted((-int(exact[j, i]), i) for i in ids.tolist() if i != q)[:20]
+        assert [(-b, a) for a, b in zip(*(x.tolist() for x in found[q]))] == scores
+    assert np.mean(reads) < 0.25 * len(v)
+
+
+def test_floor_ends_reading():
+    """A bound of the kth score over other blocks spares this one its reads."""
     rng = np.random.default_rng(0)
-    v = np.floor(64 * rng.normal(0, 0.125, (5000, 64))).astype(np.int64)
-    cells = vafile.Cells(v.min(0), v.max(0), 6)
-    codes = cells.approximate(v)
-    corner = cells.lower_corner(codes)
-    assert (corner <= v).all() and (v < corner + cells.width).all()
+    v = np.floor(64 * rng.normal(0, 0.125, (3000, 64))).astype(np.int64)
+    cells, codes = vafile.Cells.fit(v, vafile.BITS)
+    reads = []
+    for floor in (np.iinfo(np.int64).min, int((v[:1] @ v.T).max()) + 5000):
+        assert len(list(vafile.search_block(np.array([-1]), v[:1], np.array([floor]), np.arange(3000), codes, v, cells, 20, reads))) == 1
+    assert 0 == reads[1] < reads[0]
 
 
 def test_query(spark):
