@@ -193,7 +193,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         codec, end = tokens.codec(vocabulary), np.array([tokens.END_ID], "<u4").tobytes()
         partition, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for some in textscan.slices(batch, "text"):
+            for some in textscan.slices(batch, "text", 1_000_000):
                 rows = []
                 for name, ids in zip(some.column("doc_id").to_pylist(), codec.encode([t or "" for t in some.column("text").to_pylist()])):
                     ids = memoryview(ids + end)

@@ -26,7 +26,7 @@ UNSAFE_GAP = re.compile(r"\s \s")
 #: Signs that end a word without a contraction: all of ASCII's but the apostrophe.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 0
-MEMORY = 1_500_000  # parts that one worker process remembers, about 70 bytes each
+MEMORY = 1_000_000  # parts that one worker process remembers, about 60 bytes each
 
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
