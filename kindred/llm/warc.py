@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.storage import new_path
+from kindred.storage import materialize, new_path, release
 
 # Field names of header lines by version: fixed values of the ARC format.
 ARC_FIELDS = {
@@ -239,14 +239,15 @@ def _arc_rows(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Convert ARC files to WARC files. Of equal payloads of min_bytes or more the smallest page_id's is the response."""
-    known = _arc_rows(spark, arc_path, False)
+    known = materialize(_arc_rows(spark, arc_path, False), "arc-rows")  # archives are read once for it
     first = known.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).filter("n > 1 AND first_id IS NOT NULL")
     later = known.select("page_id", "digest").join(first.select("digest", "first_id"), "digest").filter("page_id > first_id")
     later = later.groupBy("page_id", "digest").agg(F.min("first_id").alias("first_id"))
     # what a revisit must say of its response: identifier and url follow from the response's own row
     named = known.select(F.col("page_id").alias("first_id"), "digest", F.col("url").alias("first_url"), F.col("date").alias("first_date"))
     named = named.join(later.select("first_id", "digest").distinct(), ["first_id", "digest"]).groupBy("first_id", "digest").agg(F.min("first_url").alias("first_url"), F.min("first_date").alias("first_date"))
-    later = later.join(named, ["first_id", "digest"])
+    later = materialize(later.join(named, ["first_id", "digest"]), "revisits")
+    release(known)
     rows = _arc_rows(spark, arc_path, True).join(later, ["page_id", "digest"], "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +271,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
             yield pa.RecordBatch.from_arrays([pa.array([v[:-1] for v in values], pa.binary())], names=["value"])
 
     _write_archives(rows.mapInArrow(build, "value binary"), warc_path)
+    release(later)
 
 
 def warc_pages(spark: SparkSession, path: str) -> DataFrame:
