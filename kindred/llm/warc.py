@@ -173,7 +173,7 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
 
 def _write_archives(values: DataFrame, path: str) -> None:
     """values: one binary column; each value ends with a line feed that the writer adds."""
-    values.select(F.col(values.columns[0]).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    values.select(F.col(values.columns[0]).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
