@@ -94,12 +94,14 @@ def row_stats(rows: DataFrame) -> DataFrame:
 
 
 def summary(issues: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """level, rule, n and the first examples by name: an aggregate of bounded size, whatever the number of issues."""
-    shown = F.coalesce("source1_entity_id", "detail")
-    ranked = issues.withColumn("shown", shown).groupBy("level", "rule", "shown").agg(F.count("*").alias("n"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("level", "rule").orderBy("shown")))
-    kept = F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("shown"))))
-    return ranked.groupBy("level", "rule").agg(F.sum("n").alias("n"), kept.alias("examples"))
+    """level, rule, n and the first examples by name. Issues are counted by aggregates; a group limit keeps the examples
+    alone within each task, so no task gathers the issues of a rule."""
+    named = issues.withColumn("shown", F.coalesce("source1_entity_id", "detail")).groupBy("level", "rule", "shown").agg(F.count("*").alias("n"))
+    counts = named.groupBy("level", "rule").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("level", "rule").orderBy("shown"))
+    few = named.select("level", "rule", "shown").withColumn("r", place).filter(F.col("r") <= examples)
+    few = few.groupBy("level", "rule").agg(F.array_sort(F.collect_list("shown")).alias("examples"))
+    return counts.join(few, ["level", "rule"])
 
 
 def validate_files(spark: SparkSession, matching: str, candidates: str | None = None, required: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:

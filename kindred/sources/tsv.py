@@ -1,4 +1,8 @@
-"""Tab-separated sources and sinks."""
+"""Tab-separated sources and sinks.
+
+The order of rows is that of the scan: of one file, the order of its lines. Over several files Spark chooses the order
+of files, so "first rows" and "the last row wins" are defined for single files alone.
+"""
 
 from __future__ import annotations
 
@@ -61,7 +65,7 @@ def id_lists(s1: DataFrame, lists: DataFrame, list_column: str, out: str) -> Dat
 def write_id_lists(df: DataFrame, path: str) -> None:
     """A single TSV file with header, in position order."""
     ordered = df.orderBy("position").drop("position") if "position" in df.columns else df
-    ordered.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="", encoding="UTF-8")
+    ordered.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_matches(s1: DataFrame, matches: DataFrame, path: str) -> None:
