@@ -102,19 +102,25 @@ def _named(best: DataFrame, records: DataFrame) -> DataFrame:
     return best.join(ids, "s1").select("source1_entity_id", "candidate_entity_id", F.col("source").alias("candidate_source"), "block_score")
 
 
-def token_candidates(records: DataFrame, config: BlockingConfig = STANDARD) -> DataFrame:
-    """source1_entity_id, candidate_entity_id, candidate_source, block_score."""
-    post = postings(records, config)
-    others = cap_frequency(post.filter("source <> 'S1'"), records.filter("source <> 'S1'"), config)
+def posting_index(records: DataFrame, config: BlockingConfig = STANDARD) -> DataFrame:
+    """Capped postings of the other sources: write them once where several batches are matched against them."""
+    others = records.filter("source <> 'S1'")
+    return cap_frequency(postings(others, config), others, config)
+
+
+def token_candidates(records: DataFrame, config: BlockingConfig = STANDARD, index: DataFrame | None = None) -> DataFrame:
+    """source1_entity_id, candidate_entity_id, candidate_source, block_score. index: posting_index of the same records."""
+    own = postings(records.filter("source = 'S1'"), config)
+    others = posting_index(records, config) if index is None else index
     n = records.filter("source <> 'S1'").limit(config.broadcast_records + 1).count()
-    scores = block_scores(post.filter("source = 'S1'").unionByName(others), n <= config.broadcast_records)
+    scores = block_scores(own.unionByName(others), n <= config.broadcast_records)
     best = _named(top_per_source(scores, config.per_source, records.select("rid", "entity_id")), records)
     return best.withColumn("block_score", F.col("block_score") * config.score_scale) if config.score_scale != 1 else best
 
 
-def candidates(records: DataFrame, config: BlockingConfig = STANDARD) -> DataFrame:
+def candidates(records: DataFrame, config: BlockingConfig = STANDARD, index: DataFrame | None = None) -> DataFrame:
     """Token candidates and, if configured, the best by TF-IDF; of equal pairs the highest score stays."""
-    found = token_candidates(records, config)
+    found = token_candidates(records, config, index)
     if config.tfidf_top is None:
         return found
     by_text = tfidf.cosine_top(records, config.tfidf_top, config.tfidf_ngrams)
