@@ -3,8 +3,9 @@
 A disjunction of signals (shared name word, shared address word, same postal code, same name prefix) is one equi-join
 over a union of postings (signal, key, weight), aggregated right after the join. Joins use bigint record keys and a
 hash of (signal, key), with the key itself checked, so the exchanged rows stay narrow; the S1 postings are partitioned
-by record when the other side is small enough to be broadcast, and the score and the top-k reuse that partitioning.
-Ties in the top-k go to the smaller candidate id.
+by record when the other side is small enough to be broadcast, and the score and the top-k reuse that partitioning. It
+has a stated number of partitions: postings are few bytes and make many pairs, so a number chosen by bytes would leave
+all pairs to one task. Ties in the top-k go to the smaller candidate id.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import tfidf
+from kindred.partitions import tasks, text_bytes
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,8 @@ class BlockingConfig:
     per_source: int = 20
     tfidf_top: int | None = None
     tfidf_ngrams: int = 1
-    #: The other sources' records up to which their postings are broadcast; beyond, both sides are shuffled.
-    broadcast_records: int = 200_000
+    #: Bytes of the other sources' names and addresses up to which their postings are broadcast; beyond, both sides are shuffled.
+    broadcast_bytes: int = 8 << 20
 
 
 STANDARD = BlockingConfig()
@@ -73,13 +75,18 @@ def cap_frequency(post: DataFrame, records: DataFrame, config: BlockingConfig =
     return post.join(frequent.select("source", "signal", "key"), ["source", "signal", "key"], "left_anti")
 
 
+def is_small(records: DataFrame, config: BlockingConfig = STANDARD) -> bool:
+    """Whether the postings of the other sources may be broadcast."""
+    return text_bytes(records.filter("source <> 'S1'")) <= config.broadcast_bytes
+
+
 def posting_join(post: DataFrame, small: bool = False) -> DataFrame:
     """s1, cand, source, weight: one row for each shared key."""
     keyed = post.withColumn("k", F.xxhash64("signal", "key"))
     left = keyed.filter("source = 'S1'").select(F.col("rid").alias("s1"), "k", F.col("key").alias("own"))
     right = keyed.filter("source <> 'S1'").select(F.col("rid").alias("cand"), "source", "k", "key", "weight")
     if small:
-        left, right = left.repartition("s1"), F.broadcast(right)
+        left, right = left.repartition(tasks(post), "s1"), F.broadcast(right)
     joined = left.join(right, "k").filter(F.col("own") == F.col("key"))
     return joined.select("s1", "cand", "source", "weight")
 
@@ -90,8 +97,13 @@ def block_scores(post: DataFrame, small: bool = False) -> DataFrame:
 
 
 def top_per_source(scores: DataFrame, k: int, by_id: DataFrame) -> DataFrame:
-    """The k best candidates of each s1 and source, with ids. by_id: rid, entity_id."""
-    named = scores.join(by_id.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand")
+    """The k best candidates of each s1 and source, with ids. by_id: rid, entity_id.
+
+    Ids are joined to the pairs that score as high as the kth one alone: they only decide ties.
+    """
+    rank = F.rank().over(Window.partitionBy("s1", "source").orderBy(F.col("block_score").desc()))
+    near = scores.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+    named = near.join(by_id.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand")
     order = Window.partitionBy("s1", "source").orderBy(F.col("block_score").desc(), "candidate_entity_id")
     best = named.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k)
     return best.select("s1", "cand", "source", "candidate_entity_id", "block_score")
@@ -112,8 +124,7 @@ def token_candidates(records: DataFrame, config: BlockingConfig = STANDARD, inde
     """source1_entity_id, candidate_entity_id, candidate_source, block_score. index: posting_index of the same records."""
     own = postings(records.filter("source = 'S1'"), config)
     others = posting_index(records, config) if index is None else index
-    n = records.filter("source <> 'S1'").limit(config.broadcast_records + 1).count()
-    scores = block_scores(own.unionByName(others), n <= config.broadcast_records)
+    scores = block_scores(own.unionByName(others), is_small(records, config))
     best = _named(top_per_source(scores, config.per_source, records.select("rid", "entity_id")), records)
     return best.withColumn("block_score", F.col("block_score") * config.score_scale) if config.score_scale != 1 else best
 
@@ -123,7 +134,7 @@ def candidates(records: DataFrame, config: BlockingConfig = STANDARD, index: Dat
     found = token_candidates(records, config, index)
     if config.tfidf_top is None:
         return found
-    by_text = tfidf.cosine_top(records, config.tfidf_top, config.tfidf_ngrams)
+    by_text = tfidf.cosine_top(records, config.tfidf_top, config.tfidf_ngrams, config.broadcast_bytes)
     scaled = by_text.withColumn("block_score", (F.floor(F.col("cosine") * F.lit(100.0)) + 20).cast("int")).drop("cosine")
     return best_per_pair(found.unionByName(scaled))
 

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.partitions import tasks, text_bytes
+from kindred.storage import materialize
+
 MIN_DF, MAX_SHARE = 2, 0.90
 
 
@@ -45,14 +48,22 @@ def record_weights(records: DataFrame, ngrams: int = 1) -> DataFrame:
     return weights(counts, fit(counts.filter("source <> 'S1'"), n))
 
 
-def cosine_top(records: DataFrame, k: int, ngrams: int = 1) -> DataFrame:
-    """source1_entity_id, candidate_entity_id, candidate_source, cosine: the k best of S2 and S3 together, above 0."""
-    w = record_weights(records, ngrams)
+def cosine_top(records: DataFrame, k: int, ngrams: int = 1, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """source1_entity_id, candidate_entity_id, candidate_source, cosine: the k best of S2 and S3 together, above 0.
+
+    Weights of the other sources are broadcast if their texts are within broadcast_bytes; pairs then stay where their
+    record of S1 is, up to the top-k.
+    """
+    w = materialize(record_weights(records, ngrams), "weights")  # read from both sides
     left = w.filter("source = 'S1'").select(F.col("rid").alias("s1"), "term", F.col("weight").alias("w1"))
     right = w.filter("source <> 'S1'").select(F.col("rid").alias("cand"), "source", "term", F.col("weight").alias("w2"))
+    if text_bytes(records.filter("source <> 'S1'")) <= broadcast_bytes:
+        left, right = left.repartition(tasks(records), "s1"), F.broadcast(right)
     pairs = left.join(right, "term").groupBy("s1", "cand", "source").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("cosine"))
     ids = records.select("rid", "entity_id")
-    named = pairs.filter("cosine > 0").join(ids.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand")
+    rank = F.rank().over(Window.partitionBy("s1").orderBy(F.col("cosine").desc()))
+    near = pairs.filter("cosine > 0").withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+    named = near.join(ids.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand")
     order = Window.partitionBy("s1").orderBy(F.col("cosine").desc(), "candidate_entity_id")
     best = named.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k)
     best = best.join(ids.select(F.col("rid").alias("s1"), F.col("entity_id").alias("source1_entity_id")), "s1")

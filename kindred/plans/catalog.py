@@ -39,6 +39,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized_records(source_records(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a table, for plans that read them several times: accents are folded once."""
+    return materialize(records(spark, sf_dir), "records")
+
+
 def _joined(c):
     return F.array_join(c, "|")
 
@@ -140,9 +145,9 @@ def token_df_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _block_query(signal: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = records(spark, sf_dir)
+        r = stored(spark, sf_dir)
         ids = r.select("rid", "entity_id")
-        pairs = B.posting_join(B.postings(r, signals=(signal,))).groupBy("s1", "cand", "source").agg(F.sum("weight").cast("int").alias("score"))
+        pairs = B.posting_join(B.postings(r, signals=(signal,)), B.is_small(r)).groupBy("s1", "cand", "source").agg(F.sum("weight").cast("int").alias("score"))
         a, b = ids.select(F.col("rid").alias("s1"), F.col("entity_id").alias("source1_entity_id")), ids.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id"))
         return pairs.join(a, "s1").join(b, "cand").select("source1_entity_id", "candidate_entity_id", "score")
 
@@ -156,10 +161,10 @@ for _name, _signal in (("block_postal", "postal"), ("block_name_token", "name"),
 
 @query("block_score", O.with_records("SELECT source1_entity_id, candidate_entity_id, candidate_source, block_score FROM post_scores", *O.postings(), O.scores()))
 def block_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     others = r.filter("source <> 'S1'")
     post = B.postings(r.filter("source = 'S1'")).unionByName(B.cap_frequency(B.postings(others), others))
-    return B._named(B.block_scores(post).join(r.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand"), r)
+    return B._named(B.block_scores(post, B.is_small(r)).join(r.select(F.col("rid").alias("cand"), F.col("entity_id").alias("candidate_entity_id")), "cand"), r)
 
 
 _CANDIDATE = "SELECT source1_entity_id, candidate_entity_id, candidate_source, block_score FROM cand"
@@ -167,12 +172,12 @@ _CANDIDATE = "SELECT source1_entity_id, candidate_entity_id, candidate_source, b
 
 @query("block_topk_v1", O.with_records(_CANDIDATE, *O.token_steps()))
 def block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.candidates(records(spark, sf_dir))
+    return B.candidates(stored(spark, sf_dir))
 
 
 @query("block_topk_narrow", O.with_records(_CANDIDATE, *O.token_steps(B.NARROW)))
 def block_topk_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.candidates(records(spark, sf_dir), B.NARROW)
+    return B.candidates(stored(spark, sf_dir), B.NARROW)
 
 
 @query(
@@ -184,7 +189,7 @@ def block_topk_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def candidates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     return B.candidates_wide(B.candidates(r), r.filter("source = 'S1'"))
 
 
@@ -195,7 +200,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cosine(k: int, ngrams: int) -> Query:
-    return lambda spark, d: tfidf.cosine_top(records(spark, d), k, ngrams)
+    return lambda spark, d: tfidf.cosine_top(stored(spark, d), k, ngrams)
 
 
 for _name, _k, _n in (("tfidf_cosine_topk", 20, 1), ("tfidf_cosine_topk_bigrams", 50, 2)):
@@ -204,7 +209,7 @@ for _name, _k, _n in (("tfidf_cosine_topk", 20, 1), ("tfidf_cosine_topk_bigrams"
 
 
 def _hybrid(config: B.BlockingConfig) -> Query:
-    return lambda spark, d: B.candidates(records(spark, d), config)
+    return lambda spark, d: B.candidates(stored(spark, d), config)
 
 
 for _name, _config in (("hybrid_candidates", B.HYBRID), ("hybrid_candidates_wide", B.WIDE)):
@@ -216,7 +221,7 @@ for _name, _config in (("hybrid_candidates", B.HYBRID), ("hybrid_candidates_wide
 
 def _features(names: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = records(spark, sf_dir)
+        r = stored(spark, sf_dir)
         made = build_features(B.candidates(r), r)
         return made.select("source1_entity_id", "candidate_entity_id", *[F.round(n, 6).alias(n) for n in names])
 
@@ -244,7 +249,7 @@ for _name, _some in (
     ),
 )
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     return sampling.label_pairs(B.candidates(r), truth_pairs(r)).select("source1_entity_id", "candidate_entity_id", "label")
 
 
@@ -320,19 +325,19 @@ _KEPT = f"SELECT source1_entity_id, candidate_entity_id AS id FROM scored WHERE
 
 @query("threshold_matches", O.with_records(f"SELECT source1_entity_id, candidate_entity_id, prob FROM scored WHERE prob >= {THRESHOLD}::DOUBLE", *O.scored_steps()))
 def threshold_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_pairs(records(spark, sf_dir)).filter(F.col("prob") >= THRESHOLD)
+    return scored_pairs(stored(spark, sf_dir)).filter(F.col("prob") >= THRESHOLD)
 
 
 @query("entity_f_half", O.with_records(f"SELECT source1_entity_id, hits, n_predicted, n_true, round({O.f_half('hits', 'n_predicted', 'n_true')}, 6) AS f_half FROM per", *O.scored_steps(), *O.macro_steps(_KEPT)))
 def entity_f_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     counts = E.entity_counts(scored_pairs(r).filter(F.col("prob") >= THRESHOLD), truth_pairs(r), _s1(r))
     return counts.withColumn("f_half", F.round(E.entity_f_half(F.col("hits"), F.col("n_predicted"), F.col("n_true")), 6))
 
 
 @query("macro_f_half", O.with_records(f"SELECT round(coalesce(avg({O.f_half('hits', 'n_predicted', 'n_true')}), 0), 6) AS macro_f_half FROM per", *O.scored_steps(), *O.macro_steps(_KEPT)))
 def macro_f_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     kept = scored_pairs(r).filter(F.col("prob") >= THRESHOLD)
     return E.macro_f_half(kept, truth_pairs(r), _s1(r)).select(F.round("macro_f_half", 6).alias("macro_f_half"))
 
@@ -346,7 +351,7 @@ def macro_f_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     return E.recall_ceiling(B.candidates(r), truth_pairs(r)).withColumn("recall_ceiling", F.round("recall_ceiling", 6))
 
 
@@ -364,7 +369,7 @@ def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     # as a table: Catalyst would push the count of thresholds, and with it the similarities, below a join
     curve = E.sweep(materialize(scored_pairs(r), "scored"), truth_pairs(r), _s1(r))
     return curve.select(F.round("threshold", 6).alias("threshold"), F.round("macro_f_half", 6).alias("macro_f_half"))
@@ -386,7 +391,7 @@ def empty_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     scored = materialize(scored_pairs(r), "scored")
     return E.run_stats(scored, scored.filter(F.col("prob") >= THRESHOLD), _s1(r))
 
@@ -394,7 +399,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small forest of boosted trees, fitted and applied to all candidates. No SQL twin: a model is trained."""
-    r = materialize(records(spark, sf_dir), "records")
+    r = stored(spark, sf_dir)
     pairs = materialize(sampling.label_pairs(build_features(B.candidates(r), r), truth_pairs(r)), "pairs")
     fitted = model.fit(pairs, model.ModelConfig(depth=4, rounds=5))
     return model.score(fitted, pairs).select("source1_entity_id", "candidate_entity_id", "label", "prob")
@@ -416,14 +421,15 @@ _LISTS = f"SELECT rid AS pos, CASE WHEN rid % 29 = 0 THEN 'S1-extra' || rid ELSE
 
 def _faulty_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Faulty rows, the candidates' rows and the records."""
-    r = records(spark, sf_dir)
+    r = stored(spark, sf_dir)
     ids = r.filter("source = 'S1'").select("rid", F.col("entity_id").alias("source1_entity_id"))
     wide = B.candidates_wide(B.candidates(r), r.filter("source = 'S1'")).withColumnRenamed("candidate_entity_ids", "ids").join(ids, "source1_entity_id")
+    wide = materialize(wide, "wide")
     split = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
     changed = wide.select(
         F.col("rid").alias("at"), F.when(F.col("rid") % 29 == 0, F.concat(F.lit("S1-extra"), F.col("rid"))).otherwise(F.col("source1_entity_id")).alias("source1_entity_id"), F.expr(_CHANGED).alias("ids")
     )
-    changed = changed.union(changed.filter("at % 31 = 0"))
+    changed = materialize(changed.union(changed.filter("at % 31 = 0")), "rows")  # as a file would be: every rule reads it
     as_rows = lambda df: df.select("at", "source1_entity_id", split("ids").alias("ids"), F.lit(True).alias("ok"))
     return as_rows(changed), as_rows(wide.withColumnRenamed("rid", "at")), r
 

@@ -59,7 +59,7 @@ def test_records_fold_every_character(spark):
 
 
 def test_broadcast_and_shuffle_agree(records):
-    a, b = (B.candidates(records, B.BlockingConfig(broadcast_records=n)) for n in (0, 10**6))
+    a, b = (B.candidates(records, B.BlockingConfig(broadcast_bytes=n)) for n in (0, 10**9))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
