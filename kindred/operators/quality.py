@@ -105,14 +105,18 @@ def summary(issues: DataFrame, examples: int = EXAMPLES) -> DataFrame:
 
 
 def validate_files(spark: SparkSession, matching: str, candidates: str | None = None, required: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """All issues of the files of one run; what is not there to check against is a warning."""
+    """All issues of the files of one run; what is not there to check against is a warning. A file with bytes that are
+    not UTF-8 is not read any further."""
     notes: list[tuple] = []
     lists, out = {}, []
     for kind, path in (("matching", matching), ("candidates", candidates)):
-        if path is None or not _exists(spark, path):
+        if path is None or not exists(spark, path):
             notes.append(("error" if kind == "matching" else "warning", "missing_file", None, f"{kind}: {path}"))
             continue
         lines = read_lines(spark, path)
+        if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
+            notes.append(("error", "not_utf8", None, f"{kind}: {path}"))
+            continue
         head = header_issues(lines, HEADERS[kind])
         if not head.isEmpty():
             out.append(head)
@@ -134,7 +138,7 @@ def passed(issues: DataFrame) -> bool:
     return issues.filter("level = 'error'").isEmpty()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
 

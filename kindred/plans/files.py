@@ -122,6 +122,22 @@ def validate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("validate_encoding", "SELECT * FROM (VALUES ('ISO-8859-1', 'error', 'not_utf8'), ('UTF-8', NULL, NULL)) AS t(encoding, level, rule)")
+def validate_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true lists with an accented id, written in two encodings: the one that is not UTF-8 is an error."""
+    s1, lists = _lists(spark, sf_dir, "matched")
+    accented = lists.withColumn("matched", F.transform("matched", lambda x: F.concat(x, F.lit("\u00e9"))))
+    rows = tsv.id_lists(s1, accented, "matched", "matched_entity_ids").drop("position")
+    out = None
+    for encoding in ("ISO-8859-1", "UTF-8"):
+        path = new_path(spark, "matching")
+        rows.coalesce(1).write.csv(path, sep="\t", header=True, emptyValue="", quote="", encoding=encoding)
+        found = quality.validate_files(spark, path).filter("level = 'error'").agg(F.min("level").alias("level"), F.min("rule").alias("rule"))
+        found = found.select(F.lit(encoding).alias("encoding"), "level", "rule")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("validate_file", O.with_records(
     f"""SELECT 'error' AS level, 'no_tab' AS rule, NULL AS source1_entity_id, entity_id AS detail FROM raw WHERE source = 'S1' AND rid % 7 = 0 UNION ALL
     SELECT 'error', 'missing_row', entity_id, entity_id FROM raw WHERE source = 'S1' AND rid % 7 = 0 UNION ALL

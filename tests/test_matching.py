@@ -6,6 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import cli
 from kindred.operators import blocking as B
 from kindred.operators import evaluate as E
 from kindred.operators import model, quality, sampling
@@ -169,6 +170,39 @@ def test_missing_files(spark, tmp_path):
     assert not quality.passed(quality.validate_files(spark, str(tmp_path / "none.tsv")))
 
 
+def test_not_utf8(spark, tmp_path):
+    (tmp_path / "m.tsv").write_bytes("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-é\n".encode("latin-1"))
+    issues = quality.validate_files(spark, str(tmp_path / "m.tsv"))
+    assert "not_utf8" in {r["rule"] for r in issues.collect()} and not quality.passed(issues)
+
+
+def test_command_line(spark, source, tmp_path, capsys):
+    def put(name, rows, *columns):
+        lines = ["\t".join(columns)] + ["\t".join(str(r[c] or "") for c in columns) for r in rows]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+
+    truth = truth_pairs(source).groupBy("source1_entity_id").agg(F.array_join(F.collect_set("matched_entity_id"), ",").alias("matched_entity_ids")).collect()
+    put("train_ground_truth.tsv", truth, "source1_entity_id", "matched_entity_ids")
+    for number in (1, 2, 3):
+        rows = source.filter(F.col("source") == f"S{number}").orderBy("rid").collect()
+        for part in ("train", "test"):
+            put(f"{part}_source{number}.tsv", rows, *tsv.RECORD_COLUMNS)
+    folder, fitted = str(tmp_path), str(tmp_path / "matcher")
+    assert cli.main(["train", "--train-dir", folder, "--model-out", fitted, "--depth", "2", "--rounds", "2"], spark) == 0
+    made = {}
+    for batches in ("1", "3"):
+        out = tmp_path / f"out{batches}"
+        assert cli.main(["predict", "--test-dir", folder, "--model", fitted, "--output-dir", str(out), "--batches", batches], spark) == 0
+        made[batches] = [open(glob.glob(str(out / name / "part-*"))[0]).read() for name in ("matching_results.tsv", "candidate_pairs.tsv")]
+    assert made["1"] == made["3"] and made["1"][1].count("S2-") > 0
+    files = ["--matching", str(tmp_path / "out1/matching_results.tsv"), "--candidate", str(tmp_path / "out1/candidate_pairs.tsv")]
+    assert cli.main(["validate", *files, "--test-dir", folder, "--check-ids"], spark) == 0
+    put("bad.tsv", [{"source1_entity_id": "S1-none", "matched_entity_ids": "S1-1"}], "source1_entity_id", "matched_entity_ids")
+    assert cli.main(["validate", "--matching", str(tmp_path / "bad.tsv"), "--test-dir", folder], spark) == 1
+    assert cli.main(["validate", *files, "--test-dir", str(tmp_path / "nowhere")], spark) == 1
+    assert "error missing_row" in capsys.readouterr().out
+
+
 def test_train_save_load_predict(spark, source, tmp_path):
     fitted = matching.train(source, truth_pairs(source), fit_config=model.ModelConfig(depth=3, rounds=4))
     assert fitted.positives > 0 and 0.05 <= fitted.matcher.threshold <= 0.96 and fitted.recall_ceiling > 0.9
