@@ -42,6 +42,7 @@ ARC_FIELDS = {
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURED = "20240101000000"
 MIN_REVISIT_BYTES = 100
+RECORDS_PER_FILE = 4096  # an archive is read as one value: pages of 100 kB on average make 400 MB before gzip
 
 
 @dataclass
@@ -171,33 +172,40 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
         yield WarcRecord(headers, block, len(block) < length)
 
 
-def _write_archives(values: DataFrame, path: str) -> None:
-    """values: one binary column; each value ends with a line feed that the writer adds."""
-    values.select(F.col(values.columns[0]).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+def _write_archives(values: DataFrame, path: str, per_file: int) -> None:
+    """values: one binary column; each value ends with a line feed that the writer adds. A task begins another file
+    after per_file values."""
+    text = values.select(F.col(values.columns[0]).cast("string").alias("value"))
+    text.write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
-def pages_to_arc(pages: DataFrame, path: str) -> None:
-    """Write pages (page_id, url, html) as ARC files; those of even partitions have version 1, the others 2."""
+def pages_to_arc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+    """Write pages (page_id, url, html) as ARC files of per_file records at most, each with a version block first; those
+    of even partitions have version 1, the others 2."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        version, name, first = partition % 2 + 1, f"kindred-{partition:05d}.arc", True
+        partition, place = TaskContext.get().partitionId(), 0
+        version = partition % 2 + 1
         for batch in batches:
-            values = [arc_version_block(name, version)] if first else []
-            first = False
+            values = []
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                name = f"kindred-{partition:05d}-{place // per_file:05d}.arc"
+                if place % per_file == 0:
+                    values.append(arc_version_block(name, version))
+                    place += 1
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 known = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{known}\r\n"
                 values.append(arc_record(version, url or "unknown:", head.encode() + payload, name=name))
+                place += 1
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write_archives(rows.mapInArrow(build, "value binary"), path)
+    _write_archives(rows.mapInArrow(build, "value binary"), path, per_file)
 
 
 def _page(headers: dict[str, str]) -> int | None:
@@ -237,8 +245,8 @@ def _arc_rows(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
     return _archives(spark, path).mapInArrow(parse, ddl)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Convert ARC files to WARC files. Of equal payloads of min_bytes or more the smallest page_id's is the response."""
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES, per_file: int = RECORDS_PER_FILE) -> None:
+    """Convert ARC files to WARC files of per_file records at most, each with a warcinfo record first. Of equal payloads of min_bytes or more the smallest page_id's is the response."""
     known = materialize(_arc_rows(spark, arc_path, False), "arc-rows")  # archives are read once for it
     first = known.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).filter("n > 1 AND first_id IS NOT NULL")
     later = known.select("page_id", "digest").join(first.select("digest", "first_id"), "digest").filter("page_id > first_id")
@@ -251,14 +259,14 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
     rows = _arc_rows(spark, arc_path, True).join(later, ["page_id", "digest"], "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
-        partition = TaskContext.get().partitionId()
+        partition, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             values = []
-            if first:
-                values.append(write_warc(convert(ArcRecord(dict(zip(ARC_FIELDS[1], [f"filedesc://kindred-{partition:05d}.warc", "0.0.0.0", CAPTURED, "text/plain", "0"])), b""))))
-            first = False
             for r in batch.to_pylist():
+                if place % per_file == 0:
+                    name = f"filedesc://kindred-{partition:05d}-{place // per_file:05d}.warc"
+                    values.append(write_warc(convert(ArcRecord(dict(zip(ARC_FIELDS[1], [name, "0.0.0.0", CAPTURED, "text/plain", "0"])), b""))))
+                    place += 1
                 arc = ArcRecord({"URL": r["url"], "IP-address": "0.0.0.0", "Archive-date": r["date"], "Content-type": r["mime"]}, r["body"], r["truncated"])
                 of = None
                 if r["first_id"] is not None:
@@ -267,10 +275,11 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
                 if of:
                     record.headers["X-Refers-To-Page-Id"] = str(r["first_id"])
                 values.append(write_warc(record))
+                place += 1
             # the writer adds the line feed that ends each value
             yield pa.RecordBatch.from_arrays([pa.array([v[:-1] for v in values], pa.binary())], names=["value"])
 
-    _write_archives(rows.mapInArrow(build, "value binary"), warc_path)
+    _write_archives(rows.mapInArrow(build, "value binary"), warc_path, per_file)
     release(later)
 
 

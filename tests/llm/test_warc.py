@@ -63,3 +63,18 @@ def test_pages(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()]
     assert sorted((tuple(r) for r in queries.QUERIES["op5_warc"](spark, SF).collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("per_file", [2, 3, 4])
+def test_archives_roll_over(spark, tmp_path, per_file):
+    """Files of few records, each of which begins with its version block or warcinfo record, hold the same pages."""
+    rows = [(i, "<p>text</p>" * (10 + i % 4)) for i in range(23)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(2)
+    arc, out = str(tmp_path / "arc"), str(tmp_path / "warc")
+    warc.pages_to_arc(pages, arc, per_file)
+    warc.arc_to_warc(spark, arc, out, per_file=per_file)
+    for path, read, start in ((arc, warc.read_arc, lambda r: r.fields["URL"].startswith("filedesc:")), (out, warc.read_warc, lambda r: r.headers["WARC-Type"] == "warcinfo")):
+        files = [list(read(r["content"])) for r in warc._archives(spark, path).collect()]
+        files = [f for f in files if f]
+        assert len(files) >= 23 // (per_file - 1) and all(len(f) <= per_file and [start(r) for r in f] == [True] + [False] * (len(f) - 1) for f in files)
+    assert sorted((tuple(r) for r in warc.warc_pages(spark, out).collect()), key=str) == brute(rows)
