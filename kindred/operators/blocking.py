@@ -4,8 +4,8 @@ A disjunction of signals (shared name word, shared address word, same postal cod
 over a union of postings (signal, key, weight), aggregated right after the join. Joins use bigint record keys and a
 hash of (signal, key), with the key itself checked, so the exchanged rows stay narrow; the S1 postings are partitioned
 by record when the other side is small enough to be broadcast, and the score and the top-k reuse that partitioning. It
-has a stated number of partitions: postings are few bytes and make many pairs, so a number chosen by bytes would leave
-all pairs to one task. Ties in the top-k go to the smaller candidate id.
+has a number of partitions by the records of S1: postings are few bytes and make many pairs, so a number chosen by
+bytes would leave all pairs to one task. Ties in the top-k go to the smaller candidate id.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import tfidf
-from kindred.partitions import tasks, text_bytes
+from kindred.partitions import local_parts
 
 
 @dataclass(frozen=True)
@@ -75,25 +75,20 @@ def cap_frequency(post: DataFrame, records: DataFrame, config: BlockingConfig =
     return post.join(frequent.select("source", "signal", "key"), ["source", "signal", "key"], "left_anti")
 
 
-def is_small(records: DataFrame, config: BlockingConfig = STANDARD) -> bool:
-    """Whether the postings of the other sources may be broadcast."""
-    return text_bytes(records.filter("source <> 'S1'")) <= config.broadcast_bytes
-
-
-def posting_join(post: DataFrame, small: bool = False) -> DataFrame:
-    """s1, cand, source, weight: one row for each shared key."""
+def posting_join(post: DataFrame, parts: int | None = None) -> DataFrame:
+    """s1, cand, source, weight: one row for each shared key. parts: local_parts of the records."""
     keyed = post.withColumn("k", F.xxhash64("signal", "key"))
     left = keyed.filter("source = 'S1'").select(F.col("rid").alias("s1"), "k", F.col("key").alias("own"))
     right = keyed.filter("source <> 'S1'").select(F.col("rid").alias("cand"), "source", "k", "key", "weight")
-    if small:
-        left, right = left.repartition(tasks(post), "s1"), F.broadcast(right)
+    if parts:
+        left, right = left.repartition(parts, "s1"), F.broadcast(right)
     joined = left.join(right, "k").filter(F.col("own") == F.col("key"))
     return joined.select("s1", "cand", "source", "weight")
 
 
-def block_scores(post: DataFrame, small: bool = False) -> DataFrame:
+def block_scores(post: DataFrame, parts: int | None = None) -> DataFrame:
     """s1, cand, source, block_score: sum of the weights of shared keys."""
-    return posting_join(post, small).groupBy("s1", "cand", "source").agg(F.sum("weight").cast("int").alias("block_score"))
+    return posting_join(post, parts).groupBy("s1", "cand", "source").agg(F.sum("weight").cast("int").alias("block_score"))
 
 
 def top_per_source(scores: DataFrame, k: int, by_id: DataFrame) -> DataFrame:
@@ -124,7 +119,7 @@ def token_candidates(records: DataFrame, config: BlockingConfig = STANDARD, inde
     """source1_entity_id, candidate_entity_id, candidate_source, block_score. index: posting_index of the same records."""
     own = postings(records.filter("source = 'S1'"), config)
     others = posting_index(records, config) if index is None else index
-    scores = block_scores(own.unionByName(others), is_small(records, config))
+    scores = block_scores(own.unionByName(others), local_parts(records, config.broadcast_bytes))
     best = _named(top_per_source(scores, config.per_source, records.select("rid", "entity_id")), records)
     return best.withColumn("block_score", F.col("block_score") * config.score_scale) if config.score_scale != 1 else best
 

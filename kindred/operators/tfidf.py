@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.partitions import tasks, text_bytes
+from kindred.partitions import local_parts
 from kindred.storage import materialize
 
 MIN_DF, MAX_SHARE = 2, 0.90
@@ -57,8 +57,9 @@ def cosine_top(records: DataFrame, k: int, ngrams: int = 1, broadcast_bytes: int
     w = materialize(record_weights(records, ngrams), "weights")  # read from both sides
     left = w.filter("source = 'S1'").select(F.col("rid").alias("s1"), "term", F.col("weight").alias("w1"))
     right = w.filter("source <> 'S1'").select(F.col("rid").alias("cand"), "source", "term", F.col("weight").alias("w2"))
-    if text_bytes(records.filter("source <> 'S1'")) <= broadcast_bytes:
-        left, right = left.repartition(tasks(records), "s1"), F.broadcast(right)
+    parts = local_parts(records, broadcast_bytes)
+    if parts:
+        left, right = left.repartition(parts, "s1"), F.broadcast(right)
     pairs = left.join(right, "term").groupBy("s1", "cand", "source").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("cosine"))
     ids = records.select("rid", "entity_id")
     rank = F.rank().over(Window.partitionBy("s1").orderBy(F.col("cosine").desc()))
