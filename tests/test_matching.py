@@ -244,3 +244,12 @@ def test_entry_needs_no_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+def test_local_parts(spark):
+    from kindred.partitions import RECORDS_PER_TASK, local_parts
+
+    rows = [("S1", "a", None)] * (9 * RECORDS_PER_TASK + 1) + [("S2", "é", "bc"), ("S3", None, None)]
+    records = spark.createDataFrame(rows, "source string, business_name string, business_address string")
+    assert local_parts(records, 4) == 10 and local_parts(records, 3) is None
+    assert local_parts(records.limit(0), 0) == 4
