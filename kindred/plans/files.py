@@ -76,8 +76,8 @@ def candidate_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("id_list_order", O.with_records("SELECT row_number() OVER (ORDER BY rid) AS line, entity_id AS source1_entity_id FROM raw WHERE source = 'S1'"))
 def id_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the id-list file, numbered: rows stand in the order of positions."""
-    lines = quality.read_lines(spark, _matching_file(spark, sf_dir)).filter("at > 0")
-    return lines.select(F.col("at").alias("line"), F.split("value", "\t")[0].alias("source1_entity_id"))
+    lines = quality.numbered(quality.read_lines(spark, _matching_file(spark, sf_dir))).filter("line > 0")
+    return lines.select("line", F.split("value", "\t")[0].alias("source1_entity_id"))
 
 
 @query("truth_scan", O.with_records(f"SELECT source1_entity_id, ids AS matched_entity_ids FROM ({_WRITTEN})", O.TRUTH))

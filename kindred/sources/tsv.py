@@ -64,8 +64,9 @@ def id_lists(s1: DataFrame, lists: DataFrame, list_column: str, out: str) -> Dat
 
 def write_id_lists(df: DataFrame, path: str) -> None:
     """A single TSV file with header, in position order."""
-    ordered = df.orderBy("position").drop("position") if "position" in df.columns else df
-    ordered.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # sorted in the one task that writes: coalesce(1) after a global sort may take partitions in another order on a cluster
+    one = df.repartition(1).sortWithinPartitions("position").drop("position") if "position" in df.columns else df.coalesce(1)
+    one.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_matches(s1: DataFrame, matches: DataFrame, path: str) -> None:
