@@ -88,3 +88,12 @@ def test_records_without_words(crowd):
     found = B.candidates(crowd).filter((F.col("source1_entity_id") == "S1-900") | (F.col("candidate_entity_id") == "S2-901"))
     assert {(r["source1_entity_id"], r["candidate_entity_id"]) for r in found.collect()} <= {("S1-900", "S2-901")}
     assert B.candidates(crowd.limit(0)).isEmpty() and B.candidates(crowd.filter("source = 'S1'")).isEmpty()
+
+
+def test_features_carry_what_they_need(crowd):
+    """Pairs take no list along, and no text that the wanted features don't read."""
+    from kindred.operators.features import build_features
+
+    made = build_features(B.candidates(crowd), crowd).select("source1_entity_id", "name_lev_ratio", "name_token_jaccard")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_3g" not in plan and "_name_norm" in plan and "_addr_strip" not in plan
