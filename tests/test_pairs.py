@@ -97,3 +97,33 @@ def test_features_carry_what_they_need(crowd):
     made = build_features(B.candidates(crowd), crowd).select("source1_entity_id", "name_lev_ratio", "name_token_jaccard")
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "_3g" not in plan and "_name_norm" in plan and "_addr_strip" not in plan
+
+
+def block_of(rows):
+    """A block of (id, {key: weight}) rows of S2."""
+    import pyarrow as pa
+
+    entry = pa.list_(pa.struct([("key", pa.string()), ("weight", pa.float64())]))
+    keys = [[{"key": k, "weight": w} for k, w in has.items()] for _, has in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(["S2"] * len(rows)), pa.array([i for i, _ in rows]), pa.array(keys, entry)], names=["source", "entity_id", "keys"])
+    (block,) = P._build(iter([batch]), True)
+    return block.column("data")[0].as_py()
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_few_records_are_ranked(monkeypatch, whole):
+    """Of many records with a shared word, those that can't be among the best are neither sorted nor scored again."""
+    draw, n, k = random.Random(5), 10_000, 20
+    rows = [(f"S2-{i:05d}", {"all": 1.0} | {f"w{j}": 3.0 if whole else 0.3 for j in draw.sample(range(40), 3)}) for i in range(n)]
+    block, read = P._Block(block_of(rows), whole), []
+    above = P._Block.above
+    monkeypatch.setattr(P._Block, "above", lambda *a: read.append(len(found := above(*a))) or found)
+    for wanted in (["all"], ["all", "w1", "w2", "w3"], [f"w{j}" for j in range(40)]):
+        for floor in (0.0, 1.0, 4.0, 100.0):
+            scores = [round(sum(has.get(x, 0.0) for x in wanted), 9) for _, has in rows]
+            expected = sorted((-s, i) for i, s in enumerate(scores) if s > floor)[:k]
+            at, found = (block.whole_best if whole else block.real_best)(wanted, [1.0] * len(wanted), floor, k)
+            assert [(-s, i) for i, s in zip(at.tolist(), found.tolist())] == expected
+    read.clear()
+    (block.whole_best if whole else block.real_best)(["all", "w1", "w2", "w3"], [1.0] * 4, 0.0, k)
+    assert max(read) < n / 4
