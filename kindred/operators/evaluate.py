@@ -25,10 +25,11 @@ def entity_counts(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> Dat
     """
     p = predicted.select("source1_entity_id", F.col("candidate_entity_id").alias("id")).distinct().withColumn("p", F.lit(1))
     t = truth.select("source1_entity_id", F.col("matched_entity_id").alias("id")).distinct().withColumn("t", F.lit(1))
-    both = p.join(t, ["source1_entity_id", "id"], "full_outer").groupBy("source1_entity_id")
-    counts = both.agg(F.count(F.col("p") + F.col("t")).alias("hits"), F.count("p").alias("n_predicted"), F.count("t").alias("n_true"))
-    all_ids = ids.select("source1_entity_id").union(counts.select("source1_entity_id")).distinct()
-    return all_ids.join(counts, "source1_entity_id", "left").na.fill(0)
+    both = p.join(t, ["source1_entity_id", "id"], "full_outer").select("source1_entity_id", "p", "t")
+    alone = ids.select("source1_entity_id", F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("t"))
+    # a union, not a join with the counts: predicted is read once
+    rows = both.union(alone).groupBy("source1_entity_id")
+    return rows.agg(F.count(F.col("p") + F.col("t")).alias("hits"), F.count("p").alias("n_predicted"), F.count("t").alias("n_true"))
 
 
 def macro_f_half(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:

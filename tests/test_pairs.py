@@ -127,3 +127,13 @@ def test_few_records_are_ranked(monkeypatch, whole):
     read.clear()
     (block.whole_best if whole else block.real_best)(["all", "w1", "w2", "w3"], [1.0] * 4, 0.0, k)
     assert max(read) < n / 4
+
+
+def test_entity_counts_read_predictions_once(spark):
+    from kindred.operators import evaluate as E
+
+    predicted = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "source1_entity_id string, candidate_entity_id string")
+    truth = spark.createDataFrame([("a", "x"), ("c", "z")], "source1_entity_id string, matched_entity_id string")
+    counts = E.entity_counts(predicted, truth, spark.createDataFrame([("a",), ("d",), ("d",)], "source1_entity_id string"))
+    assert sorted(map(tuple, counts.collect())) == [("a", 1, 2, 1), ("b", 0, 1, 0), ("c", 0, 0, 1), ("d", 0, 0, 0)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") == 1
