@@ -137,3 +137,28 @@ def test_entity_counts_read_predictions_once(spark):
     counts = E.entity_counts(predicted, truth, spark.createDataFrame([("a",), ("d",), ("d",)], "source1_entity_id string"))
     assert sorted(map(tuple, counts.collect())) == [("a", 1, 2, 1), ("b", 0, 1, 0), ("c", 0, 0, 1), ("d", 0, 0, 0)]
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") == 1
+
+
+@pytest.mark.parametrize("config", [B.HYBRID, B.BlockingConfig(per_source=4, tfidf_top=6, tfidf_ngrams=2, score_scale=10)])
+def test_searches_are_united_without_moving_pairs(crowd, config, monkeypatch):
+    """Keys and cosines of a record meet in one task: each pair once, with its greater score, and no pair is grouped after an exchange."""
+    monkeypatch.setattr(P, "CHUNK", 16)
+    found = B.candidates(crowd, config)
+    plan = plan_of(found)
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+    expected = {}
+    for a, b, source, score in B.token_candidates(crowd, config).collect():
+        expected[a, b, source] = score
+    for a, b, source, cosine in tfidf.cosine_top(crowd, config.tfidf_top, config.tfidf_ngrams).collect():
+        expected[a, b, source] = max(expected.get((a, b, source), 0), int(cosine * 100.0) + 20)
+    got = found.collect()
+    assert len(got) == len(expected) and {tuple(r)[:3]: r["block_score"] for r in got} == expected
+
+
+def test_united_ids_that_repeat(spark):
+    """Records of S1 with the same id, and others with the same id, give a pair once, with the greatest score."""
+    post = spark.createDataFrame([("S1", 1, "x", 1.0), ("S1", 2, "y", 1.0), ("S2", 3, "x", 2.0), ("S2", 4, "y", 3.0), ("S3", 5, "y", 7.0)], POST)
+    ids = spark.createDataFrame([(1, "S1-a"), (2, "S1-a"), (3, "S2-b"), (4, "S2-b"), (5, "S3-c")], "rid long, entity_id string")
+    sides = [P.listed(post.filter(side), ids) for side in ("source = 'S1'", "source <> 'S1'")]
+    found = P.united([P.search(*sides, 5, factor=10), P.search(*sides, 1, by_source=False, whole=False, factor=4.0, plus=1)])
+    assert sorted(map(tuple, found.collect())) == [("S1-a", "S2-b", "S2", 30), ("S1-a", "S3-c", "S3", 70)]
