@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,16 @@ def test_united_ids_that_repeat(spark):
     sides = [P.listed(post.filter(side), ids) for side in ("source = 'S1'", "source <> 'S1'")]
     found = P.united([P.search(*sides, 5, factor=10), P.search(*sides, 1, by_source=False, whole=False, factor=4.0, plus=1)])
     assert sorted(map(tuple, found.collect())) == [("S1-a", "S2-b", "S2", 30), ("S1-a", "S3-c", "S3", 70)]
+
+
+def test_best_are_kept_in_tables():
+    """A record's best are rows of a source's table: no small array of each record stays between blocks."""
+    best = P._Best(2, True, True)
+    best.asked = [("S1-1", ["x"], [1.0]), ("S1-2", ["z"], [1.0])]
+    for ids in (("a", "b"), ("c", "d")):
+        best.meet(P._Block(block_of([(i, {"x": 2.0 if i == "d" else 1.0}) for i in ids]), True), "S2")
+    (tables,) = best.best.values()
+    assert [t.shape for t in tables] == [(2,), (2, 2), (2, 2)] and tables[0].tolist() == [2, 0]
+    best.end()
+    ((whose, names, _, scores),) = best.told(np.arange(2))
+    assert (whose.to_pylist(), names.to_pylist(), scores.tolist()) == (["S1-1", "S1-1"], ["d", "a"], [2.0, 1.0])
