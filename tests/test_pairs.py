@@ -176,3 +176,20 @@ def test_best_are_kept_in_tables():
     best.end()
     ((whose, names, _, scores),) = best.told(np.arange(2))
     assert (whose.to_pylist(), names.to_pylist(), scores.tolist()) == (["S1-1", "S1-1"], ["d", "a"], [2.0, 1.0])
+
+
+def test_all_pairs_keep_their_dictionary(spark, tmp_path):
+    """Ids of candidates are written as places in a dictionary, also where there are more of them than one dictionary holds."""
+    import pyarrow.parquet as pq
+
+    entry = "transform(filter(sequence(0, 9), x -> pmod(xxhash64(id, x), 100) < 9), x -> struct(cast(x as string) as key, 1.0D as weight)) AS keys"
+    others = spark.range(400_000, 600_000).selectExpr("'S2' AS source", "id AS rid", "concat('S2-', id) AS entity_id", entry).filter("size(keys) > 0")
+    own = spark.range(30).selectExpr("'S1' AS source", "id AS rid", "concat('S1-', id) AS entity_id", "transform(sequence(0, 2), x -> struct(cast(pmod(id + x, 10) as string) as key, 1.0D as weight)) AS keys")
+    P.pairs(own, others, None).write.option("parquet.block.size", 1 << 20).parquet(f"{tmp_path}/found")
+    groups = [m.row_group(i) for m in (pq.ParquetFile(p).metadata for p in (tmp_path / "found").glob("*.parquet")) for i in range(m.num_row_groups)]
+    assert groups and all("PLAIN" not in g.column(1).encodings for g in groups)
+    shared = "SELECT a.entity_id AS a, b.entity_id AS b, size(array_intersect(a.keys.key, b.keys.key)) AS n FROM own a, others b"
+    own.createOrReplaceTempView("own"), others.createOrReplaceTempView("others")
+    expected = spark.sql(f"SELECT count(*), sum(n), sum(n * crc32(concat(a, b))) FROM ({shared}) WHERE n > 0")
+    got = spark.read.parquet(f"{tmp_path}/found").selectExpr("count(*)", "sum(score)", "sum(score * crc32(concat(source1_entity_id, candidate_entity_id)))")
+    assert tuple(got.first()) == tuple(expected.first())
