@@ -193,3 +193,35 @@ def test_all_pairs_keep_their_dictionary(spark, tmp_path):
     expected = spark.sql(f"SELECT count(*), sum(n), sum(n * crc32(concat(a, b))) FROM ({shared}) WHERE n > 0")
     got = spark.read.parquet(f"{tmp_path}/found").selectExpr("count(*)", "sum(score)", "sum(score * crc32(concat(source1_entity_id, candidate_entity_id)))")
     assert tuple(got.first()) == tuple(expected.first())
+
+
+def test_all_pairs_are_numbers_between_python_and_the_jvm(spark, monkeypatch):
+    """A pair takes eight bytes on its way out of Python, whatever the length of its ids; ids are looked up where rows are made."""
+    draw = random.Random(11)
+    others = [(f"S{2 + i % 2}-{'x' * 40}{i:03d}", {key: draw.choice([1.0, 2.0, 70_000.0]) for key in draw.sample("abcdef", 2)}) for i in range(200)]
+    own = [(f"S1-{'y' * 40}{j}", {key: 1.0 for key in draw.sample("abcdefg", 2)}) for j in range(50)]
+    expected = {(a, b, b[:2], int(sum(has[key] * has_b[key] for key in has.keys() & has_b.keys()))) for a, has in own for b, has_b in others if has.keys() & has_b.keys()}
+    frames = [spark.createDataFrame([(i[:2], i, i, [(k, w) for k, w in has.items()]) for i, has in rows], "source string, rid string, entity_id string, keys array<struct<key:string,weight:double>>") for rows in (own, others)]
+    asked = [(a, list(has), list(has.values())) for a, has in own]
+    for by_source in (True, False):
+        found = P.search(*frames, None, by_source)
+        blocks = [P._Block(r["data"], True) for r in found.blocks.collect()]
+        assert [len(set(b.sources)) for b in blocks] == ([1, 1] if by_source else [2])
+        for pairs in (1, 500, 1 << 15):
+            monkeypatch.setattr(P, "PAIRS", pairs)
+            made = [m for b in blocks for m in P._all_pairs(b, asked)]
+            assert sum(len(m.column("packed").flatten()) for m in made) == len(expected)
+            assert sum(m.column("packed").flatten().nbytes for m in made) == 8 * len(expected)
+            got = P._unpacked(spark.createDataFrame([r for m in made for r in m.to_pylist()], "own array<string>, names array<string>, sources array<string>, packed array<bigint>")).collect()
+            assert len(got) == len(expected) and set(map(tuple, got)) == expected
+        rows = P.found(found).collect()
+        assert len(rows) == len(expected) and set(map(tuple, rows)) == expected
+
+
+def test_a_score_beyond_its_bits_is_an_error():
+    """Scores that an INTEGER can't hold fail, as in SQL; none runs over into the places."""
+    block = P._Block(block_of([("S2-1", {"x": 2.0**31 - 1, "y": 1.0})]), True)
+    (made,) = P._all_pairs(block, [("S1-1", ["x"], [1.0])])
+    assert made.column("packed").to_pylist() == [[2**31 - 1]]
+    with pytest.raises(OverflowError):
+        list(P._all_pairs(block, [("S1-1", ["x", "y"], [1.0, 1.0])]))
